@@ -7,6 +7,19 @@ _SHINGLES = """CASE WHEN len(words) = 0 THEN []
                 ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END"""
 
 ORACLE_SQL = {
+    "op4_decontamination": f"""
+        WITH items AS (
+            SELECT item_id, list_distinct({_SHINGLES}) AS grams, least(len(words), 5) AS size
+            FROM (SELECT item_id, {_WORDS.replace("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')", "lower(coalesce(text, ''))")} AS words FROM benchmark)
+            WHERE len(words) > 0),
+        wanted AS (SELECT item_id, size, len(grams) AS n_item, unnest(grams) AS gram FROM items),
+        texts AS (SELECT doc_id, {_WORDS.replace("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')", "lower(coalesce(text, ''))")} AS words FROM documents),
+        sizes AS (SELECT DISTINCT size FROM items),
+        had AS (
+            SELECT DISTINCT doc_id, size, unnest(list_transform(range(1, len(words) - size + 2), lambda i: array_to_string(words[i:i + size - 1], ' '))) AS gram
+            FROM texts, sizes)
+        SELECT doc_id, item_id, n_item, count(*) AS n_found, count(*) / n_item AS containment
+        FROM had JOIN wanted USING (size, gram) GROUP BY doc_id, item_id, n_item HAVING count(*) * 1000 >= n_item * 800""",
     "op6_minhash_neardup": f"""
         WITH RECURSIVE sets AS (
             SELECT doc_id, list_distinct({_SHINGLES}) AS grams FROM (SELECT doc_id, {_WORDS} AS words FROM documents)),

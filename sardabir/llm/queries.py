@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, neardup, sharding, winnowing
+from . import bpe, chat, decontaminate, neardup, sharding, winnowing
 from .common import table
 
 
@@ -29,6 +29,10 @@ def chat_formatted(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("bigint").alias("formatted_chars"))
 
 
+def contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def winnowed(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_jump_sharding": sharded,
     "op3_chat_format": chat_formatted,
+    "op4_decontamination": contaminated,
     "op6_minhash_neardup": near_duplicates,
     "op7_byte_bpe": bpe_digests,
     "op9_winnowing": winnowed,
