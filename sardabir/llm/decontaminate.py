@@ -60,7 +60,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = CONTAINME
         one = _contained(texts, wanted.where(F.col("length") == length), length, share)
         found = one if found is None else found.unionByName(one)
     if found is None:
-        found = docs.sparkSession.createDataFrame([], "doc long, item long, n_item long, n_found long")
+        found = docs.sparkSession.range(0).select(F.col("id").alias("doc"), F.col("id").alias("item"), F.col("id").alias("n_item"), F.col("id").alias("n_found"))
     # an item id of several rows is contained if one of them is
     best = found.groupBy("doc", "item").agg(F.max(F.struct((F.col("n_found") / F.col("n_item")).alias("containment"), "n_item", "n_found")).alias("best"))
     return best.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "best.n_item", "best.n_found", "best.containment")

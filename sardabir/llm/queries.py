@@ -6,8 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, neardup, sharding, winnowing
+from . import bpe, chat, decontaminate, neardup, pii, quality, sharding, winnowing
 from .common import table
+from .labelled import fold
+
+
+#: The key of the surrogates in these queries. In production it is a secret of whoever runs them.
+PII_KEY = b"queries over synthetic tables"
+
+
+def quality_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels, fold("doc_id", 3) != 1)
+    return quality.score(docs, model).select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +28,7 @@ def sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chat_formatted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the formatted conversations, read back from the formatted strings and masks."""
     probe = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    extra = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{probe}'), (-1L, 1L, 'assistant', '{probe}') AS t(conv_id, turn, role, text)")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     told = chat.format_conversations(turns).select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("back"), chat.masked_text(F.col("parts")).alias("loss"))
     return told.select(
@@ -41,15 +52,21 @@ def bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def pseudonymized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.describe_pii(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def winnowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare_neighbours(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_quality_fm": quality_scored,
     "op2_jump_sharding": sharded,
     "op3_chat_format": chat_formatted,
     "op4_decontamination": contaminated,
     "op6_minhash_neardup": near_duplicates,
     "op7_byte_bpe": bpe_digests,
+    "op8_pii_surrogates": pseudonymized,
     "op9_winnowing": winnowed,
 }
