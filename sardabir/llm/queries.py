@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, neardup, pii, quality, sharding, winnowing
+from . import bpe, chat, decontaminate, neardup, pii, quality, sharding, toxicity, winnowing
 from .common import table
 from .labelled import fold
 
@@ -60,6 +60,12 @@ def winnowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare_neighbours(table(spark, sf_dir, "documents"))
 
 
+def toxicity_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    network = toxicity.fit(docs, labels, fold("doc_id", 5) != 0)
+    return toxicity.score(docs, network).select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_quality_fm": quality_scored,
     "op2_jump_sharding": sharded,
@@ -69,4 +75,5 @@ QUERIES = {
     "op7_byte_bpe": bpe_digests,
     "op8_pii_surrogates": pseudonymized,
     "op9_winnowing": winnowed,
+    "op10_toxicity_gru": toxicity_scored,
 }

@@ -57,17 +57,25 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     parts = [text.encode("utf-8", "surrogatepass").translate(_LOWER) for text in texts]
     data = np.frombuffer(b" ".join(parts) + b" ", dtype=np.uint8)
     ends_of = np.cumsum([len(p) + 1 for p in parts]) if parts else np.zeros(0, np.int64)
-    space = _SPACE[data]
-    turn = np.flatnonzero(space[1:] != space[:-1]) + 1
-    if len(data) and not space[0]:
+    starts, ends = runs_of(~_SPACE[data])
+    return span_hashes(data, starts, ends), np.searchsorted(starts, ends_of)
+
+
+def runs_of(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of True; the last value must be False."""
+    turn = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if len(inside) and inside[0]:
         turn = np.concatenate(([0], turn))
-    starts, ends = turn[0::2], turn[1::2]
+    return turn[0::2], turn[1::2]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes, which depend on their bytes only."""
     up, down = _POWERS.upto(len(data) + 1)
     with np.errstate(over="ignore"):
         total = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(_BYTES[data] * up[:len(data)], out=total[1:])
-        hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return hashes, np.searchsorted(starts, ends_of)
+        return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
