@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, neardup, pii, quality, sharding, toxicity, winnowing
+from . import bpe, chat, decontaminate, html_text, neardup, pii, quality, sharding, toxicity, winnowing
 from .common import table
 from .labelled import fold
 
@@ -44,6 +44,10 @@ def contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def pages_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -71,6 +75,7 @@ QUERIES = {
     "op2_jump_sharding": sharded,
     "op3_chat_format": chat_formatted,
     "op4_decontamination": contaminated,
+    "op5_html_main_text": pages_main_text,
     "op6_minhash_neardup": near_duplicates,
     "op7_byte_bpe": bpe_digests,
     "op8_pii_surrogates": pseudonymized,
