@@ -54,14 +54,19 @@ def decode(ids: np.ndarray, enc: tiktoken.Encoding) -> bytes:
 
 
 def tokenize(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, n_tokens and ids (binary, little-endian unsigned 32-bit) of every row; null text: no tokens."""
+    """``id_col``, n_tokens, ids (binary, little-endian unsigned 32-bit) and whole (they decode to the text) of every row.
+
+    Null text: no tokens. Other columns are not read.
+    """
 
     def run(batch: pa.RecordBatch) -> dict:
         enc = encoding(path, pattern)
-        ids = [encode(text or "", enc) for text in batch.column(1).to_pylist()]
-        return {id_col: batch.column(0), "n_tokens": [len(x) for x in ids], "ids": [x.tobytes() for x in ids]}
+        texts = [text or "" for text in batch.column(1).to_pylist()]
+        ids = [encode(text, enc) for text in texts]
+        return {id_col: batch.column(0), "n_tokens": [len(x) for x in ids], "ids": [x.tobytes() for x in ids],
+                "whole": [decode(x, enc) == t.encode("utf-8", "surrogatepass") for x, t in zip(ids, texts)]}
 
-    return map_rows(docs.select(docs[id_col].cast("bigint").alias(id_col), docs[text_col]), run, f"{id_col} long,n_tokens long,ids binary")
+    return map_rows(docs.select(docs[id_col].cast("bigint").alias(id_col), docs[text_col]), run, f"{id_col} long,n_tokens long,ids binary,whole boolean")
 
 
 def token_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

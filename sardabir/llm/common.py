@@ -50,11 +50,17 @@ def slices(texts: list[str], most: int = SLICE_CHARS) -> Iterator[tuple[int, int
         yield start, len(texts)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, as the cluster names it in ``spark.checkpoint.dir``.
+
+    Where none is named, as in tests, a folder beside the warehouse.
+    """
+    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "checkpoints")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the shared folder the cluster names in ``spark.checkpoint.dir``; sets one only where none is named (tests)."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(os.path.abspath("."), "spark-warehouse", "checkpoints"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
 def range_splits(df: DataFrame, col: str, rows_per_range: int = 20_000, most: int = 4096) -> np.ndarray:

@@ -195,6 +195,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         F.coalesce(F.col("id") == F.coalesce("component", "id"), F.lit(True)).alias("kept"))
 
 
+def drop_copies(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each component does, with all their columns."""
+    gone = near_duplicates(docs, percent, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("__gone_id")).distinct().checkpoint()
+    hinted = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return docs.join(hinted, docs[id_col].cast("bigint") == hinted["__gone_id"], "left_anti")
+
+
 def _cluster_links(rows: DataFrame, clusters: DataFrame, parts: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) inside clusters, a few for each member."""
     # a member's place in its cluster, without numbering: blocks by hash, as many as the cluster's size asks for
