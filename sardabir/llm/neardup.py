@@ -3,10 +3,11 @@
 1. Each document becomes a digest of its shingle set, its band keys, and a packed signature of BITS low bits of each
    minimum. Documents of one digest are one class, which its least doc_id stands for from here on.
 2. Classes are dealt by band key. In a bucket, a leader takes whatever is near by the estimate from the signatures'
-   bit counts; what isn't very near to any leader so far leads next. An edge for each class and leader goes out.
-   Jaccard distance obeys the triangle inequality, so two classes that are to be linked always share a leader: if one
-   of them is within CORE of it, the other is within JOIN, which is farther by the link's own distance and the
-   estimate's error. So edges number a few for each class, and their connected components hold every link.
+   bit counts; what isn't very near to any leader so far leads next. Jaccard distance obeys the triangle inequality,
+   so two classes that are to be linked always share a leader: if one of them is within CORE of it, the other is
+   within JOIN, which is farther by the link's own distance and the estimate's error. Members that leaders connect
+   get one edge each, to the least of them, so a bucket gives fewer edges than it has members, and the connected
+   components of all edges hold every link.
 3. Inside such a cluster all links are sought on full sets: an estimate rules out what is far, and pairs that are
    connected already are passed over. Clusters larger than BLOCK are dealt out as pairs of blocks.
 """
@@ -83,18 +84,19 @@ def _describe(batch: pa.RecordBatch) -> dict:
     return out
 
 
-def _lead(ids: np.ndarray, packed: np.ndarray) -> list[np.ndarray]:
-    """Edges (leader, member) of one bucket."""
-    left, edges = np.ones(len(ids), dtype=bool), []
-    while left.any():
+def _lead(ids: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    """Edges (least, member) of one bucket: a star for each set of members that leaders connect, one edge a member."""
+    left, group = np.ones(len(ids), dtype=bool), np.arange(len(ids))
+    while left.any() and group.any():
         leader = int(np.argmax(left))
         near = estimate(packed[leader], packed)
         left &= near < CORE
         left[leader] = False
-        near[leader] = 0
-        joined = np.flatnonzero(near >= JOIN)
-        edges.append(np.stack((np.full(len(joined), ids[leader]), ids[joined])))
-    return edges
+        met = np.unique(group[(near >= JOIN) | (np.arange(len(ids)) == leader)])
+        if len(met) > 1:
+            group[np.isin(group, met)] = met[0]
+    members = np.flatnonzero(group != np.arange(len(ids)))
+    return np.stack((ids[group[members]], ids[members]))
 
 
 def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +112,7 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         take = np.repeat(plain, sizes) & (leaders != np.arange(len(keys)))
         found = [np.stack((ids[leaders[take]], ids[take]))]
         for s, n in zip(starts[~plain], sizes[~plain]):
-            found += _lead(ids[s:s + n], packed[s:s + n])
+            found.append(_lead(ids[s:s + n], packed[s:s + n]))
         a, b = np.unique(np.concatenate(found, axis=1), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
