@@ -63,7 +63,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
-def range_splits(df: DataFrame, col: str, rows_per_range: int = 20_000, most: int = 4096) -> np.ndarray:
+def range_splits(df: DataFrame, col: str, rows_per_range: int = 20_000, most: int = 16_384) -> np.ndarray:
     """Split points of a bigint column by approximate quantiles, so that ranges hold about equally many rows."""
     total = df.count()
     n = int(min(most, max(1, total // rows_per_range)))

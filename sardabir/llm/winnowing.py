@@ -11,13 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import range_splits
+from .common import range_splits, slices
 
 #: Code points of a gram, grams of a window: any passage of GRAM + WINDOW - 1 = 39 code points that two texts share
 #: gives both a print of the same hash.
 GRAM, WINDOW = 16, 24
 #: Long texts are worked through in blocks of so many code points, which overlap by GRAM + WINDOW - 2.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
+#: Documents of one range of ids, and code points of the texts that are turned into rows at once.
+RANGE_ROWS, SLICE = 2000, 1_000_000
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -110,8 +112,9 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     no rows.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    splits = range_splits(rows, "id")
+    splits = range_splits(rows, "id", RANGE_ROWS)
     n = len(splits) + 1
+    parts = min(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     @F.pandas_udf("int")
     def stretch(key: pd.Series) -> pd.Series:
@@ -120,7 +123,7 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     late = F.col("id").isNull()
     at = F.when(late, F.lit(n)).otherwise(stretch(F.coalesce("id", F.lit(0))))
     placed = rows.withColumn("stretch", at)
-    # one row for each range, of which there are at most 4,097
+    # one row for each range, of which there are at most 16,385
     heads = {r["stretch"]: r["id"] for r in rows.select("id").withColumn("stretch", at).groupBy("stretch").agg(F.min("id").alias("id")).collect()}
     order = sorted(heads)
     before = {k: order[i - 1] for i, k in enumerate(order)}
@@ -129,24 +132,27 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # the copies: of each range's first row, for the range before; sorted behind all of that
     first = placed.join(F.broadcast(links), (placed["id"].eqNullSafe(links["id"])) & (placed["stretch"] == links["stretch"]), "inner").groupBy(links["before"]).agg(F.min(placed["text"]).alias("text"))
     ghosts = first.select(F.lit(None).cast("bigint").alias("id"), "text", F.col("before").alias("stretch"), F.lit(True).alias("ghost"))
-    dealt = placed.withColumn("ghost", F.lit(False)).unionByName(ghosts).repartition(max(1, len(order)), "stretch").sortWithinPartitions("stretch", "ghost", F.col("id").isNull(), "id", "text")
+    dealt = placed.withColumn("ghost", F.lit(False)).unionByName(ghosts).repartition(parts, "stretch").sortWithinPartitions("stretch", "ghost", F.col("id").isNull(), "id", "text")
 
     def hexed(hashes: np.ndarray) -> str:
         return hashes.astype(">u4").tobytes().hex()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
         for batch in batches:
-            out: list[tuple] = []
-            ids, texts, ghost, stretches = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("id", "text", "ghost", "stretch"))
-            for key, text, is_ghost, part in zip(ids, texts, ghost, stretches):
-                prints = np.unique(winnow(text)[0])
-                if held is not None:
-                    changed = edited(held[1], text)
-                    own, others = held[2], np.unique(winnow(changed)[0])
-                    out.append((held[0], len(held[1]), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), hexed(own), hexed(others), likeness(own, others), likeness(own, prints)))
-                held = None if is_ghost else (key, text, prints)
-            columns = list(zip(*out)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))], names=[id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            ids, ghosts = batch.column("id").to_pylist(), batch.column("ghost").to_pylist()
+            texts = batch.column("text").to_pylist()
+            for first, last in slices(texts, SLICE):
+                out: list[tuple] = []
+                for key, text, is_ghost in zip(ids[first:last], texts[first:last], ghosts[first:last]):
+                    prints = np.unique(winnow(text)[0])
+                    if held is not None:
+                        changed = edited(held[1], text)
+                        own, others = held[2], np.unique(winnow(changed)[0])
+                        out.append((held[0], len(held[1]), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), hexed(own), hexed(others), likeness(own, others), likeness(own, prints)))
+                    held = None if is_ghost else (key, text, prints)
+                columns = list(zip(*out)) or [()] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
     return dealt.mapInArrow(run, f"{id_col} long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
