@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import ensure_checkpoint_dir
+
 SHINGLE_WORDS = 5
 CONTAINMENT = 0.8
 SPACES = r"[\x20\x09-\x0D]+"
@@ -50,6 +52,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = CONTAINME
     both. Repeated rows count once. Empty tables: no rows. Other columns are not read. Texts of any length are one
     row each; their shingles are exploded within the task.
     """
+    ensure_checkpoint_dir(docs.sparkSession)
     share = int(round(threshold * 1000))
     wanted = items.select(F.col(item_col).cast("bigint").alias("item"), words(F.col("text")).alias("words")).where("item IS NOT NULL AND size(words) > 0")
     wanted = wanted.withColumn("length", F.least(F.size("words"), F.lit(SHINGLE_WORDS)))
@@ -80,9 +83,10 @@ def _contained(texts: DataFrame, wanted: DataFrame, length: int, share: int) ->
     split = texts.withColumn("words", words(F.col("text")))
     # candidates: any shingle of an item's sketch
     hashes = _runs(split.select("doc", "words"), length, "doc").select("doc", F.xxhash64(*[f"w{k}" for k in range(length)]).alias("hash"))
-    candidates = hashes.join(hint(sketch), "hash").select("doc", "key").distinct()
-    # verification: the distinct shingles a candidate has of its item
-    suspects = split.join(candidates.select("doc").distinct(), "doc", "left_semi")
+    candidates = hashes.join(hint(sketch), "hash").select("doc", "key").distinct().checkpoint()
+    # verification: the distinct shingles a candidate has of its item; texts are shuffled only if candidates are many
+    named = candidates.select("doc").distinct()
+    suspects = split.join(F.broadcast(named) if candidates.count() <= BROADCAST_ROWS else named, "doc", "left_semi")
     had = _shingles(suspects.select("doc", "words"), length, "doc").join(hint(whole), ["hash", "shingle"]).groupBy("doc", "key").agg(
         F.count_distinct("shingle").alias("n_found"), F.first("n_item").alias("n_item"))
     verified = had.where(F.col("n_found") * 1000 >= F.col("n_item") * share).join(candidates, ["doc", "key"], "left_semi")
@@ -92,5 +96,6 @@ def _contained(texts: DataFrame, wanted: DataFrame, length: int, share: int) ->
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = CONTAINMENT, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that contain no item, with all their columns; rows with a null id are kept."""
-    bad = contaminated(docs, items, threshold, id_col).select(F.col(id_col).alias("__bad_id")).distinct()
+    bad = contaminated(docs, items, threshold, id_col).select(F.col(id_col).alias("__bad_id")).distinct().checkpoint()
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
     return docs.join(bad, docs[id_col].cast("bigint") == bad["__bad_id"], "left_anti")
