@@ -27,7 +27,7 @@ IBAN = re.compile(r"\b([A-Z]{2})(\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?
 IPV4 = re.compile(r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\d|\.\d)", re.ASCII)
 CARD = re.compile(r"(?<![\d,+\-])(?<!\d\.)(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){2,3}(?:[ \-]\d{1,4})?|\d{4}[ \-]\d{6}[ \-]\d{5})(?![\d]|[.,\-]\d)")
 SSN = re.compile(r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])")
-PHONE = re.compile(r"(?:(?<!\d)\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d(?:[ .\-]?\d){5,11}|(?<!\w)(?<!\d\.)(?:\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]\d{3,4}|(?:1[ .\-])?\d{3}[ .\-]\d{3}[ .\-]\d{4}|00\d{9,13}))(?!\d)")
+PHONE = re.compile(r"(?:(?<!\d)\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?\d{2,4}(?:[ .\-]?\d{4}|[ .\-]?\d{2}[ .\-]?\d{2})|\d{1,4}(?:[ .\-]?\d{2,5}){2,4})|(?<!\w)(?<!\d\.)(?:\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]\d{3,4}|(?:1[ .\-])?\d{3}[ .\-]\d{3}[ .\-]\d{4}|00\d{9,13}))(?!\d)")
 #: Titles that say a name follows, with its gender.
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Herrn": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Mlle": "f", "Sr": "m", "Sra": "f",
           "Se\u00f1or": "m", "Se\u00f1ora": "f", "Don": "m", "Do\u00f1a": "f", "\u0433-\u043d": "m", "\u0433-\u0436\u0430": "f", "\u0622\u0642\u0627\u06cc": "m", "\u062e\u0627\u0646\u0645": "f"}
@@ -127,7 +127,7 @@ def _like(value: str, key: bytes, tweak: tuple, keep: int = 0, hexadecimal: bool
     # letters outside a-z share numbers with those inside; the tweak holds what tells them apart
     foreign = tuple((i, value[i].lower()) for i, r in zip(places, radices) if r == 26 and not "a" <= value[i].lower() <= "z")
     out = list(value)
-    for i, d, r in zip(places, _permute(digits, radices, key, (*tweak, tuple(seen), foreign)), radices):
+    for i, d, r in zip(places, _permute(digits, radices, key, (*tweak, "" if seen == ["1"] else "".join(seen), foreign)), radices):
         c = value[i]
         if r == 10:
             out[i] = chr(_zero(c) + d)
@@ -168,8 +168,10 @@ def surrogate(value: str, kind: str, key: bytes, gender: str = "", again: int =
         new = iter([*head, last])
         return "".join(chr(_zero(c) + next(new)) if c.isdigit() else c for c in value)
     if kind == "phone":
-        country = re.match(r"\+(\d{1,3})[ .\-(]|\+(1|7)", value)
-        return _like(value, key, tweak, keep=len(country[1] or country[2]) if country else 0)
+        country, n = re.match(r"\+(\d{1,3})[ .\-(]|\+(1|7)", value), sum(c.isdigit() for c in value)
+        long = n == 11 and not country and value.lstrip("(")[0] == "1"
+        # with or without the country code 1, one number has one surrogate
+        return _like(value, key, tweak, keep=len(country[1] or country[2]) if country else int(long))
     if kind == "name":
         words = value.split(" ")
         lists = [NAMES[_script(w), gender if i == 0 and len(words) > 1 else ""] for i, w in enumerate(words)]
@@ -180,7 +182,8 @@ def surrogate(value: str, kind: str, key: bytes, gender: str = "", again: int =
 def identity(value: str, kind: str) -> str:
     """What two mentions of one entity have in common."""
     if kind in ("phone", "card", "ssn"):
-        return "".join(str(unicodedata.digit(c)) for c in value if c.isdigit())
+        digits = "".join(str(unicodedata.digit(c)) for c in value if c.isdigit())
+        return digits[1:] if kind == "phone" and len(digits) == 11 and digits[0] == "1" else digits
     return value if kind == "secret" else re.sub(r"\s+", "", value) if kind == "iban" else value.casefold()
 
 
