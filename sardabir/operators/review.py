@@ -183,3 +183,19 @@ def offline_reviewer(params: str) -> str:
         if words:
             issues.append({"p": n + 1, "original": words[0], "suggestion": words[0] + words[0][-1], "type": ("spelling", "grammar")[n % 2], "note": "", "confidence": 0.5 + n % 5 / 10})
     return json.dumps({"issues": issues}, ensure_ascii=False)
+
+
+def batches(rows: DataFrame) -> DataFrame:
+    """batch, n, first_cid, last_cid: what is handed over to a reviewer at once."""
+    return rows.groupBy("batch").agg(F.count("*").alias("n"), F.min("cid").alias("first_cid"), F.max("cid").alias("last_cid"))
+
+
+def batch_status(handed: DataFrame, results: DataFrame, rows: DataFrame) -> DataFrame:
+    """Per batch how many requests were answered, failed or are open, and whether it is collected.
+
+    Collecting again is idempotent: only batches with open requests are asked for.
+    """
+    best = results.groupBy("cid").agg(F.max(F.col("error").isNull()).alias("fine"))
+    told = rows.select("batch", "cid").join(best, "cid", "left").groupBy("batch").agg(
+        F.count_if("fine").alias("answered"), F.count_if(~F.col("fine")).alias("failed"), F.count_if(F.col("fine").isNull()).alias("open"))
+    return handed.join(told, "batch").withColumn("collected", F.col("open") == 0)

@@ -725,3 +725,37 @@ def _(spark, d):
     spines = lines.select("book", "file").distinct().groupBy("book").agg(F.array_sort(F.collect_list("file")).alias("spine"))
     told = I.book_density(words.book_words(lines), I.category_counts(review_rows))
     return report.book_pages(told, I.review_order(review_rows, spines), I.safe_examples(hits), I.safe_counts(hits), lines)
+
+
+# ---- sinks and the life of batches ----------------------------------------------------------------------------
+
+
+@query("sink_tables", f"WITH {S.FINDINGS} SELECT source, count(*) AS n, CAST(sum(off) AS BIGINT) AS offsets, count(conf) AS sure FROM findings GROUP BY source")
+def _(spark, d):
+    from ..sources import store
+
+    place = store.scratch(spark, "sink_tables")
+    for source in I.SOURCES:  # one after another: each replaces its own partition only
+        store.write_issues(findings(spark, d).where(F.col("source") == source), place)
+    return store.read_issues(spark, place).groupBy("source").agg(F.count("*").alias("n"), F.sum("off").cast("bigint").alias("offsets"), F.count("conf").alias("sure"))
+
+
+@query("report_index")
+def _(spark, d):
+    from ..operators import report
+
+    unreadable = _opened(spark, d).where("error IS NOT NULL")
+    return spark.createDataFrame([("index.html", report.index_page(density(spark, d), unreadable))], "name string, html string")
+
+
+_BATCHES = f"""WITH {_RESULTS},
+        rows AS (SELECT 'c' || user_id AS cid, user_id // 50 AS batch FROM (SELECT DISTINCT user_id FROM events)),
+        best AS (SELECT cid, max(CASE WHEN error IS NULL THEN 1 ELSE 0 END) AS fine FROM results WHERE line % 3 = 0 GROUP BY cid)
+        SELECT batch, count(*) AS n, min(cid) AS first_cid, max(cid) AS last_cid, count(*) FILTER (fine = 1) AS answered, count(*) FILTER (fine = 0) AS failed, count(*) FILTER (fine IS NULL) AS open, count(*) FILTER (fine IS NULL) = 0 AS collected
+        FROM rows LEFT JOIN best USING (cid) GROUP BY batch"""
+
+
+@query("llm_batches", _BATCHES)
+def _(spark, d):
+    rows = table(spark, d, "events").select(F.concat(F.lit("c"), "user_id").alias("cid"), F.floor(F.col("user_id") / 50).alias("batch")).distinct()
+    return review.batch_status(review.batches(rows), results(spark, d).where("line % 3 = 0"), rows)
