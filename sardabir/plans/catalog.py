@@ -203,9 +203,13 @@ def known_of(spark, d):
     return words.words_only(texts).select(F.col("norm").alias("word")).distinct()
 
 
+def kept_stats(spark, d):
+    """The statistics, kept while the parts of a plan that need them run; lost blocks are computed again."""
+    return stats_of(spark, d).persist()
+
+
 def flagged_of(spark, d):
-    stats = stats_of(spark, d)
-    return spelling.flagged_words(stats, known_of(spark, d))
+    return spelling.flagged_words(kept_stats(spark, d), known_of(spark, d))
 
 
 @query("tokenize", f"WITH {S.BLOCKS}, {S.TOKENS} SELECT {_KEY}, s, e, raw, norm FROM tokens WHERE norm <> ''")
@@ -246,13 +250,13 @@ def _(spark, d):
 
 @query("rare_words", f"WITH {S.TYPOS} SELECT word, tf FROM rare")
 def _(spark, d):
-    stats, known = stats_of(spark, d), known_of(spark, d)
+    stats, known = kept_stats(spark, d), known_of(spark, d)
     return spelling.rare_words(stats, known, spelling.zwnj_variants(stats, known)).select("word", "tf")
 
 
 @query("corpus_typos", f"WITH {S.TYPOS} SELECT * FROM typos")
 def _(spark, d):
-    stats, known = stats_of(spark, d), known_of(spark, d)
+    stats, known = kept_stats(spark, d), known_of(spark, d)
     return spelling.corpus_typos(stats, known, spelling.zwnj_variants(stats, known))
 
 
