@@ -23,7 +23,7 @@ WINDOW, STRIDE = 32, 16
 WORD_BITS, GRAM_BITS = 15, 16
 WIDTH, HIDDEN = 8, 8
 #: The training sample's bound for each class, a parameter of the operator.
-PER_CLASS = 1500
+PER_CLASS = 1200
 EPOCHS, BATCH, RATE, SEED = 6, 128, 0.01, 5
 #: Code points that are worked through at once, and windows of one pass of the network.
 SLICE, BLOCK = 1_000_000, 2048
@@ -62,6 +62,23 @@ def read_words(texts: list[str]) -> Words:
     return Words(words, codes[at].astype(np.int32), gram_ends, text_ends)
 
 
+def read_all(texts: list[str]) -> Words:
+    """As read_words, slice by slice, so that only the result takes memory in proportion to all texts."""
+    parts = [read_words(texts[a:b]) for a, b in slices(texts, SLICE)]
+    shifted = lambda ends, sizes: np.concatenate([e + n for e, n in zip(ends, np.cumsum([0, *sizes]))])
+    return Words(
+        np.concatenate([p.words for p in parts]), np.concatenate([p.grams for p in parts]),
+        shifted([p.gram_ends for p in parts], [len(p.grams) for p in parts]), shifted([p.text_ends for p in parts], [len(p.words) for p in parts]))
+
+
+def cut(read: Words, a: int, b: int) -> Words:
+    """The words of texts a to b."""
+    first, last = int(read.text_ends[a - 1]) if a else 0, int(read.text_ends[b - 1])
+    start = int(read.gram_ends[first - 1]) if first else 0
+    end = int(read.gram_ends[last - 1]) if last else 0
+    return Words(read.words[first:last], read.grams[start:end], read.gram_ends[first:last] - start, read.text_ends[a:b] - first)
+
+
 def windows(text_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First word, end of the text's words, and text of every window; a text without words has none."""
     starts = np.concatenate(([0], text_ends[:-1]))
@@ -183,6 +200,10 @@ class Network:
             out[a:a + BLOCK] = self.logits(projected, _places(first[a:a + BLOCK], end[a:a + BLOCK], len(read.words)))
         return out, first, of
 
+    def worst_of_all(self, read: Words, parts: list[tuple[int, int]]) -> np.ndarray:
+        """The logit of every window, some texts at a time."""
+        return np.concatenate([self.worst(cut(read, a, b))[0] for a, b in parts])
+
     def scores(self, texts: list[str]) -> np.ndarray:
         """Between 0 and 1, of the whole texts."""
         if self.constant is not None:
@@ -199,13 +220,19 @@ def _places(first: np.ndarray, end: np.ndarray, nothing: int) -> np.ndarray:
     return np.where(at < end[None, :], at, nothing)
 
 
-def _log_odds(ids: np.ndarray, of: np.ndarray, labels: np.ndarray, size: int) -> np.ndarray:
-    """How much likelier a hashed item is in texts of label 1, by the texts that have it."""
-    pairs = np.unique(of.astype(np.int64) * size + ids)
-    toxic = labels[pairs // size] == 1
-    a, b = (np.bincount(pairs[side] % size, minlength=size) for side in (toxic, ~toxic))
+def _log_odds(read: Words, parts: list[tuple[int, int]], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How much likelier each hashed word and run of characters is in texts of label 1, by the texts that have it."""
+    seen = {"words": np.zeros((2, 1 << WORD_BITS)), "grams": np.zeros((2, 1 << GRAM_BITS))}
+    for a, b in parts:
+        part = cut(read, a, b)
+        of = np.repeat(np.arange(b - a), np.diff(part.text_ends, prepend=0))
+        for name, ids, owner in (("words", part.words, of), ("grams", part.grams, np.repeat(of, np.diff(part.gram_ends, prepend=0)))):
+            size = seen[name].shape[1]
+            pairs = np.unique(owner * size + ids)
+            for label in (0, 1):
+                seen[name][label] += np.bincount(pairs[labels[a + pairs // size] == label] % size, minlength=size)
     n, m = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
-    return np.clip(np.log((a + 1) / (n + 2)) - np.log((b + 1) / (m + 2)), -4, 4).astype(np.float32)
+    return tuple(np.clip(np.log((x[1] + 1) / (n + 2)) - np.log((x[0] + 1) / (m + 2)), -4, 4).astype(np.float32) for x in seen.values())
 
 
 def train(texts: list[str], labels: np.ndarray) -> Network:
@@ -213,13 +240,11 @@ def train(texts: list[str], labels: np.ndarray) -> Network:
     if not len(labels) or labels.min() == labels.max():
         return Network(constant=0.5 if not len(labels) else 0.95 if labels[0] else 0.05)
     rng = np.random.default_rng(SEED)
-    net, read = Network.fresh(rng), read_words(texts)
-    n_words = np.diff(read.text_ends, prepend=0)
-    of_word = np.repeat(np.arange(len(texts)), n_words)
+    net, read, parts = Network.fresh(rng), read_all(texts), list(slices(texts, SLICE))
     counts = np.diff(read.gram_ends, prepend=0)
-    by_word = _log_odds(read.words, of_word, labels, 1 << WORD_BITS)
+    by_word, by_gram = _log_odds(read, parts, labels)
     net.weights["word"][:, 0] = by_word / 4
-    net.weights["gram"][:, 0] = _log_odds(read.grams, np.repeat(of_word, counts), labels, 1 << GRAM_BITS) / 8
+    net.weights["gram"][:, 0] = by_gram / 8
     first, end, of = windows(read.text_ends)
     odds = np.append(by_word[read.words], -9.0).astype(np.float32)
     rank = np.concatenate([odds[_places(first[a:a + BLOCK], end[a:a + BLOCK], len(read.words))].max(axis=0) for a in range(0, len(first), BLOCK)])
@@ -228,7 +253,7 @@ def train(texts: list[str], labels: np.ndarray) -> Network:
     steps = 0
     for epoch in range(EPOCHS):
         if epoch:
-            rank = net.worst(read)[0]
+            rank = net.worst_of_all(read, parts)
         order = np.lexsort((-rank, of))
         nth = np.arange(len(of)) - np.searchsorted(of[order], of[order])
         chosen = order[(nth == 0) | (nth == 1) & (labels[of[order]] == 0)]
@@ -260,9 +285,8 @@ def train(texts: list[str], labels: np.ndarray) -> Network:
                 total = np.column_stack([np.bincount(at, weights=slope[:, c], minlength=len(kinds)) for c in range(WIDTH)]).astype(np.float32)
                 squares[k][kinds] += total * total
                 net.weights[k][kinds] -= np.float32(0.02) * total / np.sqrt(squares[k][kinds])
-    got, _, of = net.worst(read)
     worst = np.full(len(texts), NOTHING)
-    np.maximum.at(worst, of, got.astype(np.float64))
+    np.maximum.at(worst, of, net.worst_of_all(read, parts).astype(np.float64))
     net.bias = -_divide(worst, labels)
     return net
 
