@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-
 from html.parser import HTMLParser
-import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions import chars as C
 
@@ -19,6 +18,7 @@ SKIP_TAGS = frozenset("head script style svg math rt rp".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _WHITE = re.compile(f"[{C.plain(C.WHITE)}]+")
 
+
 class _Reader(HTMLParser):
     """Collects (anchor, text) of blocks. Entities are always resolved; markup that isn't well-formed is read as it comes."""
 
@@ -83,6 +83,7 @@ class _Reader(HTMLParser):
         if not self.skipped:
             self.parts.append(data)
 
+
 def read_blocks(source: str | None) -> list[tuple[str | None, str]]:
     """(anchor, text) of a document's blocks in order; of what can't be read, none."""
     if not source:
@@ -94,6 +95,7 @@ def read_blocks(source: str | None) -> list[tuple[str | None, str]]:
     reader._flush()
     return reader.blocks
 
+
 def extract_blocks(pages: DataFrame, html: str = "html") -> DataFrame:
     """One row for each block: the document's other columns, i, anchor and t. Streams; a document is the unit of work."""
     keep = [c for c in pages.columns if c != html]
@@ -110,8 +112,6 @@ def extract_blocks(pages: DataFrame, html: str = "html") -> DataFrame:
             taken = batch.select(keep).take(pa.array(of, pa.int64()))
             yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(places, pa.int32()), pa.array(anchors, pa.string()), pa.array(texts, pa.string())], names=[*keep, "i", "anchor", "t"])
 
-    from pyspark.sql.types import IntegerType, StringType, StructField, StructType
-
     schema = StructType([*[pages.schema[c] for c in keep], StructField("i", IntegerType()), StructField("anchor", StringType()), StructField("t", StringType())])
     return pages.mapInArrow(run, schema)
 
