@@ -18,6 +18,10 @@ from sardabir.llm.labelled import fold
 from sardabir.llm.queries import PII_KEY
 
 
+#: Least similarity of near-duplicates in this pipeline, in percent of five-word shingles; op6 alone takes 85.
+NEAR_PERCENT = 80
+
+
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
     return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1))
@@ -25,7 +29,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return neardup.drop_copies(docs)
+    return neardup.drop_copies(docs, NEAR_PERCENT)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

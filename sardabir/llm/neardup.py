@@ -5,7 +5,7 @@
 2. Classes are dealt by band key. In a bucket, a leader takes whatever is near by the estimate from the signatures'
    bit counts; what isn't very near to any leader so far leads next. Jaccard distance obeys the triangle inequality,
    so two classes that are to be linked always share a leader: if one of them is within CORE of it, the other is
-   within JOIN, which is farther by the link's own distance and the estimate's error. Members that leaders connect
+   within Bars.join, which is farther by the link's own distance and the estimate's error. Members that leaders connect
    get one edge each, to the least of them, so a bucket gives fewer edges than it has members, and the connected
    components of all edges hold every link.
 3. Inside such a cluster all links are sought on full sets: an estimate rules out what is far, and pairs that are
@@ -15,7 +15,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +28,11 @@ from . import shingles
 from .common import ensure_checkpoint_dir, map_rows
 from .components import connected_components
 
-#: Two sets of similarity 0.85 share none of the bands with probability (1 - 0.85**4)**24 = 2e-8.
-BANDS, BAND_ROWS = 24, 4
 HASHES, BITS = 128, 2
-#: Estimates at true similarity s have a standard error of at most 0.06 for any s, and 0.037 at 0.85.
-CORE, JOIN = 0.75, 0.25
-#: Estimates under this are no links: 0.85 less five standard errors.
-LEAST_ESTIMATE = 0.66
+#: Two sets at the bar share none of the bands with at most this probability; bands are at least so many.
+MISSED, LEAST_BANDS = 5e-8, 24
+#: Estimates at true similarity s have a standard error of at most 0.06 for any s, 0.037 at 0.85 and 0.042 at 0.80.
+CORE = 0.75
 BLOCK = 2048
 #: Rows of (id, cluster) that may be broadcast, 24 bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -42,6 +42,31 @@ SHIFTS = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 _FIELDS = np.uint64(0x5555555555555555)
 
 
+@dataclass(frozen=True)
+class Bars:
+    """What follows from the least similarity of a link, in percent."""
+
+    bands: int
+    band_rows: int
+    #: CORE less the link's own distance, and 0.35 for the errors of both estimates.
+    join: float
+    #: Estimates under this are no links: six standard errors less than the bar.
+    least_estimate: float
+
+
+def bars(percent: int) -> Bars:
+    """Bands of the most rows, four at most, that HASHES suffice for; at 85 24 of 4 (2e-8), at 80 32 of 4 (5e-8)."""
+    s = percent / 100
+    agree = s + (1 - s) / (1 << BITS)
+    error = math.sqrt(agree * (1 - agree) / HASHES) / (1 - 1 / (1 << BITS))
+    for rows in (4, 3, 2, 1):
+        missed = 1 - s**rows
+        bands = max(LEAST_BANDS, math.ceil(math.log(MISSED) / math.log(missed)) if missed > 0 else 1)
+        if bands * rows <= HASHES:
+            return Bars(bands, rows, CORE - (1 - s) - 0.35, s - 6 * error)
+    raise ValueError(f"{HASHES} hashes are too few for links at {percent} %")
+
+
 def pack(minima: np.ndarray) -> np.ndarray:
     """The BITS = 2 low bits of each minimum, 32 to a 64-bit word."""
     low = (minima & np.uint32(3)).astype(np.uint64).reshape(len(minima), -1, 32)
@@ -65,15 +90,15 @@ def is_link(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _describe(batch: pa.RecordBatch) -> dict:
+def _describe(batch: pa.RecordBatch, at: Bars) -> dict:
     ids, texts = batch.column(0), batch.column(1)
     sets = shingles.shingle_sets([t or "" for t in texts.to_pylist()])
     some = [i for i, s in enumerate(sets) if len(s)]
     minima = shingles.minima([sets[i] for i in some], FACTORS, SHIFTS)
-    banded = minima[:, :BANDS * BAND_ROWS].reshape(len(some), BANDS, BAND_ROWS).astype(np.uint64)
+    banded = minima[:, :at.bands * at.band_rows].reshape(len(some), at.bands, at.band_rows).astype(np.uint64)
     with np.errstate(over="ignore"):
-        keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(some), BANDS)).copy()
-        for k in range(BAND_ROWS):
+        keys = np.broadcast_to(np.arange(1, at.bands + 1, dtype=np.uint64), (len(some), at.bands)).copy()
+        for k in range(at.band_rows):
             keys = shingles.mix(keys * np.uint64(0x9E3779B97F4A7C15) + banded[:, :, k])
     packed = pack(minima)
     out: dict = {"id": ids, "n_shingles": [len(s) for s in sets], "digest": [None] * len(sets), "bands": [None] * len(sets), "packed": [None] * len(sets)}
@@ -84,7 +109,7 @@ def _describe(batch: pa.RecordBatch) -> dict:
     return out
 
 
-def _lead(ids: np.ndarray, packed: np.ndarray) -> np.ndarray:
+def _lead(ids: np.ndarray, packed: np.ndarray, join: float) -> np.ndarray:
     """Edges (least, member) of one bucket: a star for each set of members that leaders connect, one edge a member."""
     left, group = np.ones(len(ids), dtype=bool), np.arange(len(ids))
     while left.any() and group.any():
@@ -92,14 +117,14 @@ def _lead(ids: np.ndarray, packed: np.ndarray) -> np.ndarray:
         near = estimate(packed[leader], packed)
         left &= near < CORE
         left[leader] = False
-        met = np.unique(group[(near >= JOIN) | (np.arange(len(ids)) == leader)])
+        met = np.unique(group[(near >= join) | (np.arange(len(ids)) == leader)])
         if len(met) > 1:
             group[np.isin(group, met)] = met[0]
     members = np.flatnonzero(group != np.arange(len(ids)))
     return np.stack((ids[group[members]], ids[members]))
 
 
-def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bucket_edges(batches: Iterator[pa.RecordBatch], join: float) -> Iterator[pa.RecordBatch]:
     """Edges of all buckets of a partition that is sorted by band key; a bucket may span batches."""
 
     def edges(keys: np.ndarray, ids: np.ndarray, packed: np.ndarray) -> pa.RecordBatch:
@@ -112,7 +137,7 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         take = np.repeat(plain, sizes) & (leaders != np.arange(len(keys)))
         found = [np.stack((ids[leaders[take]], ids[take]))]
         for s, n in zip(starts[~plain], sizes[~plain]):
-            found.append(_lead(ids[s:s + n], packed[s:s + n]))
+            found.append(_lead(ids[s:s + n], packed[s:s + n], join))
         a, b = np.unique(np.concatenate(found, axis=1), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -155,12 +180,12 @@ def _links(ids: list[int], sides: list[int], texts: list[str], percent: int) ->
     ids, sides = [ids[i] for i in order], np.array([sides[i] for i in order])
     sets = shingles.shingle_sets([texts[i] for i in order])
     packed = pack(shingles.minima(sets, FACTORS, SHIFTS))
-    sizes = np.array([len(s) for s in sets])
+    sizes, least_estimate = np.array([len(s) for s in sets]), bars(percent).least_estimate
     forest, across = _Forest(len(ids)), len(set(sides.tolist())) > 1
     for i in range(len(ids) - 1):
         rest = np.arange(i + 1, len(ids))
         small, large = np.minimum(sizes[i], sizes[rest]), np.maximum(sizes[i], sizes[rest])
-        able = (100 * small >= percent * large) & (estimate(packed[i], packed[rest]) >= LEAST_ESTIMATE)
+        able = (100 * small >= percent * large) & (estimate(packed[i], packed[rest]) >= least_estimate)
         if across:
             able &= sides[rest] != sides[i]
         for j in rest[able].tolist():
@@ -177,15 +202,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     table: no rows. Other columns are not read.
     """
     ensure_checkpoint_dir(docs.sparkSession)
+    at = bars(percent)
     described = map_rows(
-        docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")), _describe,
+        docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")), lambda batch: _describe(batch, at),
         "id long,n_shingles long,digest binary,bands array<long>,packed binary").checkpoint()
     able = described.where("id IS NOT NULL AND digest IS NOT NULL")
     classes = able.groupBy("digest").agg(F.min("id").alias("class_id"), F.min_by("bands", "id").alias("bands"), F.min_by("packed", "id").alias("packed")).checkpoint()
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     banded = classes.select(F.explode("bands").alias("band"), F.col("class_id").alias("id"), "packed")
-    edges = banded.repartition(parts, "band").sortWithinPartitions("band", "id").mapInArrow(_bucket_edges, "a long, b long").where("a <> b")
+    edges = banded.repartition(parts, "band").sortWithinPartitions("band", "id").mapInArrow(lambda batches: _bucket_edges(batches, at.join), "a long, b long").where("a <> b")
     clusters = connected_components(edges)
     links = _cluster_links(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")), clusters, parts, percent)
     components = connected_components(links)
