@@ -27,6 +27,8 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 #: Their content is no text of the page.
 RAW = frozenset("script style noscript template svg math canvas iframe object head title textarea select option datalist video audio map".split())
+#: What stands in these is no markup.
+PLAIN = frozenset("script style title textarea iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are nodes of the tree, by group.
 GROUPS = {
@@ -46,6 +48,29 @@ IN_FAVOUR = frozenset("article content main post body entry story text page-cont
 PARTS = re.compile(r"[A-Za-z]+")
 
 
+def past_end(source: str, at: int, tag: str) -> int | None:
+    """Where the page goes on after the end tag of an element of RAW whose content begins at ``at``; none if it never ends.
+
+    In PLAIN elements any ``<`` is text, so the first end tag counts, found by plain search. Others hold markup, and an
+    end tag in a script, comment or attribute in them is none of theirs.
+    """
+    first = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(source, at)
+    if first is None:
+        return None
+    if tag in PLAIN:
+        return source.find(">", first.end()) + 1 or len(source)
+    while m := TOKEN.search(source, at):
+        at = m.end()
+        if m[2] is None:
+            continue
+        inner = m[2].lower()
+        if m[1] and inner == tag:
+            return at
+        if inner in PLAIN and not m[1] and not m[4]:
+            at = past_end(source, at, inner) or at
+    return None
+
+
 class Page:
     """The block elements of a page, in order: a parent always comes before its children."""
 
@@ -65,25 +90,25 @@ class Page:
         self.texts = [(node, "".join(parts)) for node, parts in self._parts]
 
     def _read(self, source: str) -> None:
-        node, stack, at, skip, linked = 0, [0], 0, "", 0
-        for m in TOKEN.finditer(source):
-            if m.start() > at and not skip:
+        node, stack, at, linked, endless = 0, [0], 0, 0, set()
+        while m := TOKEN.search(source, at):
+            if m.start() > at:
                 self._text(node, source[at:m.start()], linked)
             at = m.end()
             tag = m[2]
             if tag is None:
                 continue
             tag = tag.lower()
-            if skip:
-                if m[1] and tag == skip:
-                    skip = ""
-                continue
             if tag in RAW:
                 if not m[1] and not m[4]:
                     # an end tag that never comes would swallow the page; then only this tag is left out
-                    end = re.compile(rf"</{tag}\b", re.I).search(source, at)
-                    if end or tag in ("script", "style", "svg", "template", "textarea"):
-                        skip = tag
+                    end = None if tag in endless else past_end(source, at, tag)
+                    if end is not None:
+                        at = end
+                    elif tag in ("script", "style", "svg", "template", "textarea"):
+                        at = len(source)
+                    else:
+                        endless.add(tag)
                 if tag in ("textarea", "select"):
                     self.inputs[node] += 1
                 continue
@@ -125,7 +150,7 @@ class Page:
                     stack.append(len(self.tag) - 1)
                 linked = 0
             node = stack[-1]
-        if at < len(source) and not skip:
+        if at < len(source):
             self._text(node, source[at:], linked)
 
     def _open(self, parent: int, tag: str, attributes: str) -> None:

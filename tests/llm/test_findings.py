@@ -3,7 +3,7 @@
 import corpus_pipeline
 import pytest
 
-from sardabir.llm import neardup
+from sardabir.llm import html_text, neardup
 
 
 def test_the_pipeline_links_near_copies_from_80_percent_on(spark):
@@ -24,3 +24,17 @@ def test_bands_follow_from_the_bar(percent):
     at, s = neardup.bars(percent), percent / 100
     assert (1 - s**at.band_rows)**at.bands <= 5e-8 and at.bands * at.band_rows <= neardup.HASHES
     assert at.least_estimate <= s and (percent != 80 or at.least_estimate <= 0.55)
+
+
+SCRIPTS = [
+    "<script>for(var i=0;i<n;i++){x[i]=1}</script>", "<SCRIPT type='a'>if(a<b){s=1}</Script >", "<script>s='<!-- <p';</script>", "<style>a<b{}</style>",
+    "<title>a <b</title>", "<head><script>if(i<n)s='</head>';</script><title>x<y</title></head>", "<svg><style>a<b{}</style><path d='</svg>'></svg>",
+    "<noscript><script>i<n</script></noscript>", "<head><script>s='</head>'</script>", "<head><!-- </head> --><script>i<n</script></head>", "<script>i<n</scripts></script>",
+]
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_markup_in_scripts_swallows_nothing(script):
+    read = lambda source: "".join(text for _, text in html_text.Page(source).texts)
+    assert read(f"{script}<article><p>one</p>{script}<p>two</p></article>three") == "onetwothree"
+    assert read("<p>one</p><script>i<n</p>two") == "one" and read("<p>one<option>two<option>three</p>") == "onetwothree"
