@@ -4,8 +4,9 @@ A surrogate is a keyed function of the entity, so one entity has one surrogate w
 it has the entity's type and format: letters stay letters of their case, digits stay digits of their script,
 separators stay. For everything written in letters and digits it comes from a keyed permutation of all strings of that
 form (a Feistel network over mixed radices), so different entities have different surrogates by construction. Names
-come from lists by gender and script; there, and against an entity's own value, collisions are checked within the
-document and settled by keying anew.
+come from lists by gender and script, and are built from a list's entry and keyed syllables when many people stand in
+one document; there, and against an entity's own value, collisions are checked within the document and settled by keying
+anew, as often as it takes.
 """
 
 from __future__ import annotations
@@ -44,6 +45,14 @@ NAMES = {
     ("arabic", "f"): "\u0632\u0647\u0631\u0627 \u0633\u0627\u0631\u0627 \u0641\u0627\u0637\u0645\u0647 \u0645\u0631\u06cc\u0645 \u0645\u06cc\u0646\u0627 \u0646\u0631\u06af\u0633".split(),
     ("arabic", ""): "\u0627\u06a9\u0628\u0631\u06cc \u0627\u062d\u0645\u062f\u06cc \u0631\u0636\u0627\u06cc\u06cc \u06a9\u0631\u06cc\u0645\u06cc \u0645\u062d\u0645\u062f\u06cc \u0646\u0648\u0631\u06cc".split(),
 }
+#: What goes before a name of the lists when those are used up: syllables of the script, as many as it takes.
+SYLLABLES = {
+    "latin": "Ba Be Bo Da De Do Fa Fe Ga Go Ha Ka Ke Ko La Le Lo Ma Me Mo Na Ne No Pa Pe Ra Re Ro Sa Se So Ta Te To Va Ve".split(),
+    "cyrillic": "\u0411\u0430 \u0411\u043e \u0412\u0430 \u0412\u043e \u0414\u0430 \u0414\u043e \u041a\u0430 \u041a\u043e \u041b\u0430 \u041b\u043e \u041c\u0430 \u041c\u043e \u041d\u0430 \u041d\u043e \u0420\u0430 \u0420\u043e \u0421\u0430 \u0421\u043e \u0422\u0430 \u0422\u043e".split(),
+    "arabic": "\u0628\u0627 \u0628\u0648 \u062f\u0627 \u062f\u0648 \u0631\u0627 \u0631\u0648 \u0633\u0627 \u0633\u0648 \u0645\u0627 \u0645\u0648 \u0646\u0627 \u0646\u0648 \u06a9\u0627 \u06a9\u0648 \u0644\u0627 \u0644\u0648".split(),
+}
+#: Tries with the lists alone, and with each further syllable; tries with a string of the entity's own length.
+LIST_TRIES, LENGTH_TRIES = 8, 64
 KINDS = ("email", "secret", "iban", "ip", "card", "ssn", "phone", "name")
 
 
@@ -147,8 +156,14 @@ def _script(word: str) -> str:
 
 
 def surrogate(value: str, kind: str, key: bytes, gender: str = "", again: int = 0) -> str:
-    """The replacement of an entity; ``again`` counts the times it had to be keyed anew."""
+    """The replacement of an entity; ``again`` counts the times it had to be keyed anew.
+
+    With ``again``, names and the kinds that can be too short to have enough strings of their form grow without bound.
+    """
     tweak = (kind, again)
+    if longer := again // LENGTH_TRIES:
+        # emails, secrets and phones of few letters or digits; the spaces of other kinds are larger than any text
+        value = "x" * longer + value if kind == "email" else value + "x" * longer if kind == "secret" else value + "0" * longer if kind == "phone" else value
     if kind == "email":
         local, _, domain = value.rpartition("@")
         host, _, top = domain.rpartition(".")
@@ -175,7 +190,12 @@ def surrogate(value: str, kind: str, key: bytes, gender: str = "", again: int =
     if kind == "name":
         words = value.split(" ")
         lists = [NAMES[_script(w), gender if i == 0 and len(words) > 1 else ""] for i, w in enumerate(words)]
-        return " ".join(names[_prf(key, tweak, i, w.casefold()) % len(names)] for i, (w, names) in enumerate(zip(words, lists)))
+        out = [names[_prf(key, tweak, i, w.casefold()) % len(names)] for i, (w, names) in enumerate(zip(words, lists))]
+        if again >= LIST_TRIES:
+            # the entry's own ending stays, which may tell the gender
+            some = SYLLABLES[_script(words[-1])]
+            out[-1] = "".join(some[_prf(key, tweak, n, value.casefold(), "syllable") % len(some)] for n in range(again // LIST_TRIES)).capitalize() + out[-1].lower()
+        return " ".join(out)
     return _like(value, key, tweak)
 
 
@@ -203,7 +223,7 @@ def pseudonymize(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str]]
         while True:
             new = surrogate(value, kind, key, gender, tries.setdefault(own, 0))
             other = (kind, identity(new, kind))
-            if other not in values and taken.setdefault(other, own[1]) == own[1] or tries[own] >= 64:
+            if other not in values and taken.setdefault(other, own[1]) == own[1]:
                 break
             tries[own] += 1
         out += [text[at:start], new]

@@ -1,9 +1,11 @@
 """What the operators once left out: near copies under 85 % in the pipeline, scripts with `<`, many people in one text."""
 
+import re
+
 import corpus_pipeline
 import pytest
 
-from sardabir.llm import html_text, neardup
+from sardabir.llm import html_text, neardup, pii
 
 
 def test_the_pipeline_links_near_copies_from_80_percent_on(spark):
@@ -38,3 +40,26 @@ def test_markup_in_scripts_swallows_nothing(script):
     read = lambda source: "".join(text for _, text in html_text.Page(source).texts)
     assert read(f"{script}<article><p>one</p>{script}<p>two</p></article>three") == "onetwothree"
     assert read("<p>one</p><script>i<n</p>two") == "one" and read("<p>one<option>two<option>three</p>") == "onetwothree"
+
+
+KEY = b"k" * 16
+CYRILLIC, PERSIAN = "\u0430\u0431\u0432\u0433\u0434\u0435\u0436\u0437\u0438\u043a", "\u0628\u067e\u062a\u0633\u0634\u0641\u06a9\u0644\u0645\u0646"
+
+
+@pytest.mark.parametrize(("title", "digits", "first", "pairs"), [("Mr", "abcdefghij", "T", False), ("Mrs", "abcdefghij", "T", True), (list(pii.TITLES)[-4], CYRILLIC, "\u0422", False), (list(pii.TITLES)[-3], CYRILLIC, "\u0422", True), (list(pii.TITLES)[-2], PERSIAN, "\u0628", False), (list(pii.TITLES)[-1], PERSIAN, "\u0628", True)])
+def test_many_people_in_one_text_stay_distinct(title, digits, first, pairs):
+    people = [first + "".join(digits[int(d)] for d in f"{k:03d}") for k in range(700)]
+    people = [f"{p} {q}" for p, q in zip(people, people[1:])] if pairs else people
+    text = ", ".join(f"{title} {p}" for p in people + people[:50])
+    new, found = pii.pseudonymize(text, KEY)
+    names = [re.sub(f"^{title} ", "", part) for part in new.split(", ")]
+    assert len(found) == len(people) + 50 and len(set(names)) == len(people) and names[:50] == names[-50:]
+    assert not set(names) & set(people) and [k for _, _, k in pii.find_entities(new)] == ["name"] * len(found)
+
+
+def test_short_emails_and_secrets_stay_distinct():
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    emails = [f"{a}@{b}.com" for a in letters for b in letters]
+    new = pii.pseudonymize(" ".join(emails), KEY)[0].split()
+    assert len(set(new)) == len(emails) and not set(new) & set(emails)
+    assert pii.pseudonymize("token = ++++++++", KEY)[0] != "token = ++++++++"
