@@ -3,7 +3,8 @@
 A surrogate is a keyed function of the entity, so one entity has one surrogate wherever it stands (coreference), and
 it has the entity's type and format: letters stay letters of their case, digits stay digits of their script,
 separators stay. For everything written in letters and digits it comes from a keyed permutation of all strings of that
-form (a Feistel network over mixed radices), so different entities have different surrogates by construction. Names
+form (a Feistel network over mixed radices), so different entities have different surrogates by construction. A name's
+word goes by the word and its role, given or family name, and a name after a title is replaced wherever the text has it. Names
 come from lists by gender and script, and are built from a list's entry and keyed syllables when many people stand in
 one document; there, and against an entity's own value, collisions are checked within the document and settled by keying
 anew, as often as it takes.
@@ -32,8 +33,12 @@ PHONE = re.compile(r"(?:(?<!\d)\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?\d{2,4}(?:[
 #: Titles that say a name follows, with its gender.
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Herrn": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Mlle": "f", "Sr": "m", "Sra": "f",
           "Se\u00f1or": "m", "Se\u00f1ora": "f", "Don": "m", "Do\u00f1a": "f", "\u0433-\u043d": "m", "\u0433-\u0436\u0430": "f", "\u0622\u0642\u0627\u06cc": "m", "\u062e\u0627\u0646\u0645": "f"}
+#: Titles of either gender, also after one of the others.
+DEGREES = ("Dr", "Prof", "Professor", "\u0434-\u0440", "\u062f\u06a9\u062a\u0631")
 _WORD = r"[^\W\d_a-z\u00df-\u00ff\u0430-\u045f][^\W\d_]+"
-NAME = re.compile(r"\b(" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\b\.? (" + _WORD + r"(?: " + _WORD + r")?)")
+_DEGREE = "(?:" + "|".join(sorted(DEGREES, key=len, reverse=True)) + r")\b\.? "
+NAME = re.compile(r"\b(?:(" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\b\.? (?:" + _DEGREE + ")*|(?:" + _DEGREE + ")+)(" + _WORD + r"(?: " + _WORD + r")?)")
+LETTERS = re.compile(r"\b[^\W\d_]{2,}\b")
 NAMES = {
     ("latin", "m"): "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leon Martin Noel Oscar Paul Quentin Robert Simon Thomas Victor Walter".split(),
     ("latin", "f"): "Anna Berta Clara Diana Emma Flora Greta Helena Irene Julia Klara Laura Maria Nora Olga Paula Rosa Sofia Teresa Ursula Vera Wanda".split(),
@@ -59,17 +64,21 @@ KINDS = ("email", "secret", "iban", "ip", "card", "ssn", "phone", "name")
 def find_entities(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all entities in order, without overlaps; of two that overlap, the kind named first in KINDS."""
     found: list[tuple[int, int, str]] = []
+    last = 0
     for at in re.finditer("@", text) if "@" in text else ():
-        for m in EMAIL.finditer(text, max(0, at.start() - 80), min(len(text), at.start() + 260)):
-            if m.start() < at.start() < m.end():
-                found.append((*m.span(), "email"))
-                break
+        # from the start of its run of characters, which the sign before it bounds
+        start = at.start()
+        while start > last and (text[start - 1].isalnum() or text[start - 1] in "_.%+-"):
+            start -= 1
+        last = at.end()
+        if m := EMAIL.match(text, start):
+            found.append((*m.span(), "email"))
     if MARKS.search(text):
         found += [(*m.span(m.lastindex), "secret") for m in SECRET.finditer(text)]
         for kind, pattern in (("iban", IBAN), ("ip", IPV4), ("card", CARD), ("ssn", SSN), ("phone", PHONE)):
             found += [(*m.span(), kind) for m in pattern.finditer(text)]
-    if any(title in text for title in TITLES):
-        found += [(*m.span(2), "name") for m in NAME.finditer(text)]
+    if any(title in text for title in (*TITLES, *DEGREES)):
+        found += [(start, end, "name") for start, end, _ in find_names(text)]
     kept: list[tuple[int, int, str]] = []
     for start, end, kind in sorted(set(found), key=lambda f: (KINDS.index(f[2]), f[0])):
         if all(end <= s or e <= start for s, e, _ in kept):
@@ -77,6 +86,48 @@ def find_entities(text: str) -> list[tuple[int, int, str]]:
     return sorted(kept)
 
 
+def find_names(text: str) -> list[tuple[int, int, tuple[tuple[str, str], ...]]]:
+    """(start, end, roles) of the names after titles and of their further mentions, whole or by one word of them.
+
+    A role is ("family", "") or ("given", gender). The last word is the family name. Where a script has no case, the word
+    after a name may be any; so of two words the second is not sought alone, unless it follows a title alone.
+    """
+    titled: list[tuple[int, int, tuple[tuple[str, str], ...]]] = []
+    wholes: dict[str, tuple[tuple[str, str], ...]] = {}
+    families: dict[str, tuple[tuple[str, str], ...]] = {}
+    givens: dict[str, tuple[tuple[str, str], ...]] = {}
+    matches = list(NAME.finditer(text))
+    # a given name after a degree has the gender it has elsewhere
+    genders = {m[2].split(" ")[0]: TITLES[m[1]] for m in matches if m[1] and " " in m[2]}
+    for m in matches:
+        words, family = m[2].split(" "), ("family", "")
+        given = ("given", TITLES[m[1]] if m[1] else genders.get(words[0], ""))
+        if len(words) == 1:
+            families[words[0]] = (family,)
+        else:
+            wholes.setdefault(m[2], (given, family))
+            givens.setdefault(words[0], (given,))
+            if words[1].lower() != words[1].upper():
+                families[words[1]] = (family,)
+        titled.append((*m.span(2), (family,) if len(words) == 1 else (given, family)))
+    for known in (wholes, families, givens):
+        known |= {w.upper(): roles for w, roles in known.items() if w.upper() not in known}
+    singles, found, ahead, after = givens | families, [], 0, 0
+    runs = list(LETTERS.finditer(text)) if titled else []
+    for k, m in enumerate(runs):
+        while ahead < len(titled) and titled[ahead][1] <= m.start():
+            ahead += 1
+        until = titled[ahead][0] if ahead < len(titled) else len(text)
+        if m.start() < after or m.end() > until:
+            continue
+        end = runs[k + 1].end() if k + 1 < len(runs) else len(text) + 1
+        whole = wholes.get(text[m.start():end]) if end <= until else None
+        if roles := whole or singles.get(m[0]):
+            after = end if whole else m.end()
+            found.append((m.start(), after, roles))
+    return sorted(titled + found)
+
+
 def _prf(key: bytes, *parts: object) -> int:
     return int.from_bytes(hashlib.blake2b(repr(parts).encode(), key=key, digest_size=32).digest(), "big")
 
@@ -155,10 +206,22 @@ def _script(word: str) -> str:
     return "cyrillic" if name.startswith("CYRILLIC") else "arabic" if name.startswith("ARABIC") else "latin"
 
 
-def surrogate(value: str, kind: str, key: bytes, gender: str = "", again: int = 0) -> str:
-    """The replacement of an entity; ``again`` counts the times it had to be keyed anew.
+def name_word(word: str, role: str, gender: str, key: bytes, again: int = 0) -> str:
+    """The replacement of one word of a name, by the word and its role; with ``again`` it grows without bound."""
+    script, own = _script(word), (role, gender, word.casefold())
+    names = NAMES[script, (gender or "mf"[_prf(key, "gender", own) % 2]) if role == "given" else ""]
+    out = names[_prf(key, ("name", again), own) % len(names)]
+    if again >= LIST_TRIES:
+        # the entry's own ending stays, which may tell the gender
+        some = SYLLABLES[script]
+        out = "".join(some[_prf(key, ("name", again), n, own, "syllable") % len(some)] for n in range(again // LIST_TRIES)).capitalize() + out.lower()
+    return out
+
+
+def surrogate(value: str, kind: str, key: bytes, again: int = 0) -> str:
+    """The replacement of an entity other than a name; ``again`` counts the times it had to be keyed anew.
 
-    With ``again``, names and the kinds that can be too short to have enough strings of their form grow without bound.
+    With ``again``, the kinds that can be too short to have enough strings of their form grow without bound.
     """
     tweak = (kind, again)
     if longer := again // LENGTH_TRIES:
@@ -187,15 +250,6 @@ def surrogate(value: str, kind: str, key: bytes, gender: str = "", again: int =
         long = n == 11 and not country and value.lstrip("(")[0] == "1"
         # with or without the country code 1, one number has one surrogate
         return _like(value, key, tweak, keep=len(country[1] or country[2]) if country else int(long))
-    if kind == "name":
-        words = value.split(" ")
-        lists = [NAMES[_script(w), gender if i == 0 and len(words) > 1 else ""] for i, w in enumerate(words)]
-        out = [names[_prf(key, tweak, i, w.casefold()) % len(names)] for i, (w, names) in enumerate(zip(words, lists))]
-        if again >= LIST_TRIES:
-            # the entry's own ending stays, which may tell the gender
-            some = SYLLABLES[_script(words[-1])]
-            out[-1] = "".join(some[_prf(key, tweak, n, value.casefold(), "syllable") % len(some)] for n in range(again // LIST_TRIES)).capitalize() + out[-1].lower()
-        return " ".join(out)
     return _like(value, key, tweak)
 
 
@@ -212,20 +266,26 @@ def pseudonymize(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str]]
     entities = find_entities(text)
     if not entities:
         return text, []
-    values = {(kind, identity(text[s:e], kind)) for s, e, kind in entities}
-    taken: dict[tuple[str, str], str] = {}
-    tries: dict[tuple[str, str], int] = {}
-    out, at = [], 0
-    for start, end, kind in entities:
-        value = text[start:end]
-        own = (kind, identity(value, kind))
-        gender = TITLES[NAME.search(text, max(0, start - 12), end)[1]] if kind == "name" and NAME.search(text, max(0, start - 12), end) else ""
+    named = {(start, end): roles for start, end, roles in find_names(text)} if any(kind == "name" for _, _, kind in entities) else {}
+    # an entity is settled whole, a name word by word
+    values = {(kind, identity(part, kind)) for s, e, kind in entities for part in (text[s:e].split(" ") if kind == "name" else [text[s:e]])}
+    taken: dict[tuple[str, str], tuple] = {}
+    tries: dict[tuple, int] = {}
+
+    def settled(value: str, kind: str, role: tuple = ()) -> str:
+        own = (kind, identity(value, kind), role)
         while True:
-            new = surrogate(value, kind, key, gender, tries.setdefault(own, 0))
+            again = tries.setdefault(own, 0)
+            new = name_word(value, *role, key, again) if role else surrogate(value, kind, key, again)
             other = (kind, identity(new, kind))
-            if other not in values and taken.setdefault(other, own[1]) == own[1]:
-                break
+            if other not in values and taken.setdefault(other, own) == own:
+                return new
             tries[own] += 1
+
+    out, at = [], 0
+    for start, end, kind in entities:
+        value = text[start:end]
+        new = " ".join(settled(w, kind, r) for w, r in zip(value.split(" "), named[start, end])) if kind == "name" else settled(value, kind)
         out += [text[at:start], new]
         at = end
     out.append(text[at:])

@@ -63,3 +63,21 @@ def test_short_emails_and_secrets_stay_distinct():
     new = pii.pseudonymize(" ".join(emails), KEY)[0].split()
     assert len(set(new)) == len(emails) and not set(new) & set(emails)
     assert pii.pseudonymize("token = ++++++++", KEY)[0] != "token = ++++++++"
+
+
+def test_a_person_has_one_name_wherever_it_stands():
+    text = "Mr John Smith met Mrs Jane Smith. Mr Smith and John Smith left, SMITH's dog stayed. Dr. Ada Byron and Herr Prof. Dr. Weiss; Byron, Smithers, Jane."
+    new, found = pii.pseudonymize(text, KEY)
+    m = re.fullmatch(r"Mr (\w+) (\w+) met Mrs (\w+) (\w+)\. Mr (\w+) and (\w+) (\w+) left, (\w+)'s dog stayed\. Dr\. (\w+) (\w+) and Herr Prof\. Dr\. (\w+); (\w+), Smithers, (\w+)\.", new)
+    john, smith, jane, _, _, _, _, _, ada, byron, weiss, _, _ = m.groups()
+    assert m.groups() == (john, smith, jane, smith, smith, john, smith, smith, ada, byron, weiss, byron, jane) and len({john, smith, jane, ada, byron, weiss}) == 6
+    assert not {"john", "smith", "jane", "ada", "byron", "weiss"} & {w.lower() for w in m.groups()} and len(found) == 9
+    persian = list(pii.TITLES)[-2]
+    name, said = "\u0631\u0636\u0627", "\u06af\u0641\u062a"
+    assert pii.pseudonymize(f"{persian} {name} {said}. x {said}. {name}", KEY)[0].count(said) == 1
+
+
+def test_emails_of_any_length_are_replaced_whole():
+    for local in ("a" * 79, "head." + "b" * 80, "head." + "b.c-" * 5_000 + "d"):
+        assert pii.find_entities(f"x {local}@{'e' * 300}.example.com, y") == [(2, 2 + len(local) + 313, "email")]
+    assert pii.find_entities("a@b.com@c.de") == [(0, 7, "email")] and pii.find_entities("@" * 9_000) == []
