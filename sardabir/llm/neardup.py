@@ -8,7 +8,7 @@
    within Bars.join, which is farther by the link's own distance and the estimate's error. Members that leaders connect
    get one edge each, to the least of them, so a bucket gives fewer edges than it has members, and the connected
    components of all edges hold every link.
-3. Inside such a cluster all links are sought on full sets: an estimate rules out what is far, and pairs that are
+3. Inside such a cluster all links are sought on full sets: an estimate rules out what is far of large sets, and pairs that are
    connected already are passed over. Clusters larger than BLOCK are dealt out as pairs of blocks.
 """
 
@@ -33,6 +33,10 @@ HASHES, BITS = 128, 2
 MISSED, LEAST_BANDS = 5e-8, 24
 #: Estimates at true similarity s have a standard error of at most 0.06 for any s, 0.037 at 0.85 and 0.042 at 0.80.
 CORE = 0.75
+#: An estimate that is so much less than the bar rules a link out: more than eight standard errors at 0.80 and 0.85.
+MARGIN = 0.35
+#: Low bits of few minima depend on each other, so sets of fewer shingles are compared without an estimate.
+FEW = 64
 BLOCK = 2048
 #: Rows of (id, cluster) that may be broadcast, 24 bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -50,20 +54,18 @@ class Bars:
     band_rows: int
     #: CORE less the link's own distance, and 0.35 for the errors of both estimates.
     join: float
-    #: Estimates under this are no links: six standard errors less than the bar.
+    #: Estimates under this are no links.
     least_estimate: float
 
 
 def bars(percent: int) -> Bars:
     """Bands of the most rows, four at most, that HASHES suffice for; at 85 24 of 4 (2e-8), at 80 32 of 4 (5e-8)."""
     s = percent / 100
-    agree = s + (1 - s) / (1 << BITS)
-    error = math.sqrt(agree * (1 - agree) / HASHES) / (1 - 1 / (1 << BITS))
     for rows in (4, 3, 2, 1):
         missed = 1 - s**rows
         bands = max(LEAST_BANDS, math.ceil(math.log(MISSED) / math.log(missed)) if missed > 0 else 1)
         if bands * rows <= HASHES:
-            return Bars(bands, rows, CORE - (1 - s) - 0.35, s - 6 * error)
+            return Bars(bands, rows, CORE - (1 - s) - 0.35, s - MARGIN)
     raise ValueError(f"{HASHES} hashes are too few for links at {percent} %")
 
 
@@ -174,6 +176,13 @@ class _Forest:
         self.parent[j] = i
 
 
+def _shared(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many members of each other set are in ``one``; all are sorted, and none is empty."""
+    every = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, every), len(one) - 1)
+    return np.add.reduceat((one[at] == every).astype(np.int64), np.concatenate(([0], np.cumsum([len(s) for s in others[:-1]]))).astype(np.int64))
+
+
 def _links(ids: list[int], sides: list[int], texts: list[str], percent: int) -> list[tuple[int, int]]:
     """(member, least linked) of one cluster, or of two blocks of it: then only links across them count."""
     order = sorted(range(len(ids)), key=ids.__getitem__)
@@ -185,10 +194,16 @@ def _links(ids: list[int], sides: list[int], texts: list[str], percent: int) ->
     for i in range(len(ids) - 1):
         rest = np.arange(i + 1, len(ids))
         small, large = np.minimum(sizes[i], sizes[rest]), np.maximum(sizes[i], sizes[rest])
-        able = (100 * small >= percent * large) & (estimate(packed[i], packed[rest]) >= least_estimate)
+        able = 100 * small >= percent * large
+        if sizes[i] >= FEW:
+            able &= estimate(packed[i], packed[rest]) >= least_estimate
         if across:
             able &= sides[rest] != sides[i]
-        for j in rest[able].tolist():
+        apart = [j for j in rest[able].tolist() if forest.find(i) != forest.find(j)]
+        if apart and sizes[i] < FEW:
+            shared = _shared(sets[i], [sets[j] for j in apart])
+            apart = [j for j, both in zip(apart, shared.tolist()) if 100 * both >= percent * (sizes[i] + sizes[j] - both)]
+        for j in apart:
             if forest.find(i) != forest.find(j) and is_link(sets[i], sets[j], percent):
                 forest.join(i, j)
     return [(ids[i], ids[forest.find(i)]) for i in range(len(ids)) if forest.find(i) != i]

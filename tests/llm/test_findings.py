@@ -81,3 +81,12 @@ def test_emails_of_any_length_are_replaced_whole():
     for local in ("a" * 79, "head." + "b" * 80, "head." + "b.c-" * 5_000 + "d"):
         assert pii.find_entities(f"x {local}@{'e' * 300}.example.com, y") == [(2, 2 + len(local) + 313, "email")]
     assert pii.find_entities("a@b.com@c.de") == [(0, 7, "email")] and pii.find_entities("@" * 9_000) == []
+
+
+def test_links_of_short_texts_do_not_depend_on_an_estimate():
+    # 6 of 7 shingles in common, and estimates of 0.615 and 0.625
+    for k in (288927, 408913, 593712, 6897, 131761):
+        words = [f"{k}{c}" for c in "abcdefghijk"]
+        texts = [" ".join(words), " ".join(words[:10]), " ".join(words[:8])]
+        assert neardup._links([5, 3, 4], [0, 0, 0], texts, 85) == [(5, 3)]
+        assert neardup._links([5, 3, 4], [0, 1, 1], texts, 60) == [(5, 3)]
