@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch are handed to Python functions in slices of at most so many code points (or one row).
 SLICE_CHARS = 1_000_000
+#: Bytes of strings that a Python function is given at once, or one row.
+SLICE_BYTES = 8_000_000
+#: Rows of two numbers that may be broadcast (some 60 bytes each in a hash table); more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +28,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """``df`` mapped batch by batch: ``fn`` turns a record batch into columns (name to list or array).
 
-    No shuffle and no state between batches, so a lost task is simply run again.
+    Batches are cut to SLICE_BYTES, so what a worker holds follows from that and the longest text. No shuffle and no
+    state between batches, so a lost task is simply run again.
     """
     names = [part.split()[0] for part in schema.split(",")]
     kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(),
@@ -30,14 +37,28 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -
     types = [kinds[part.split()[1]] for part in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                got = fn(batch)
-                yield pa.RecordBatch.from_arrays([pa.array(got[n], type=t) for n, t in zip(names, types)], names=names)
+        for batch in cut(batches):
+            got = fn(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(got[n], type=t) for n, t in zip(names, types)], names=names)
 
     return df.mapInArrow(run, schema)
 
 
+def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Record batches of at most SLICE_BYTES of strings and binaries each, or of one row; empty ones are left out."""
+    for batch in batches:
+        sizes = np.zeros(batch.num_rows, dtype=np.int64)
+        for column in batch.columns:
+            if column.type in (pa.string(), pa.binary(), pa.large_string(), pa.large_binary()):
+                sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        start, ends = 0, np.cumsum(sizes)
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def slices(texts: list[str], most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts hold at most ``most`` code points together, or one row."""
     start = size = 0
@@ -53,9 +74,31 @@ def slices(texts: list[str], most: int = SLICE_CHARS) -> Iterator[tuple[int, int
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Where none is named, as in tests, a folder beside the warehouse.
+    Where none is named, as in tests on one machine, a folder in the warehouse; on a cluster that is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return named or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "checkpoints")
+
+
+def settled(df: DataFrame) -> tuple[DataFrame, int]:
+    """A checkpoint of ``df`` and its number of rows.
+
+    A plain checkpoint keeps the optimizer's guess of its size, which for joins is the product of both sides; in loops of
+    joins its digits double round by round. Taken from a kept table, which is measured, it is right.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "checkpoints")
+    kept = df.persist()
+    try:
+        rows = kept.count()
+        return kept.select("*").checkpoint(), rows
+    finally:
+        kept.unpersist()
+
+
+def hinted(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, which has so many rows, to be broadcast if these are few."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

@@ -5,25 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir
+from .common import ensure_checkpoint_dir, hinted, settled
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """``node`` and ``component`` (the least node it reaches) for every node of ``edges`` (a, b: bigint).
+def few_edges(edges: DataFrame) -> tuple[DataFrame, int]:
+    """Edges (a < b) with the components of ``edges``, about as few as there are nodes; and a bound of the nodes.
 
-    Labels run along edges and then jump to their label's label, so long chains take a logarithmic number of rounds.
-    Each round is two joins and a minimum by key, and is cut by a checkpoint; only its count of changes comes to the
-    driver. Loops and repeated edges do no harm; rows with a null end are left out.
+    Each node's smaller neighbours are tied to the least of them, and so is the node itself: of a node's many edges to
+    leaders, one stays, and what ties the leaders to each other is the same for all that share them.
+    """
+    ends = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
+    n = ends.count()
+    least = ends.groupBy("b").agg(F.min("a").alias("least"))
+    between = ends.join(hinted(least, n), "b").where("a <> least").select(F.col("least").alias("a"), F.col("a").alias("b"))
+    return between.unionByName(least.select(F.col("least").alias("a"), "b")).distinct().checkpoint(), 2 * n
+
+
+def connected_components(edges: DataFrame) -> tuple[DataFrame, int]:
+    """``node`` and ``component`` (the least node it reaches) for every node of ``edges`` (a, b: bigint) with another one; and their number.
+
+    A node takes the least label around it, and that label's label, so long chains take a logarithmic number of rounds.
+    A round is two look-ups and a minimum by key, and is cut by a checkpoint; only whether anything changed comes to the
+    driver. The table that is looked up has one row a node. It is broadcast if it is small; else both sides are shuffled
+    for the join alone, so that adaptive execution can split the rows of a hub. Loops and repeated edges do no harm;
+    rows with a null end are left out.
     """
     ensure_checkpoint_dir(edges.sparkSession)
-    ends = edges.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b")
-    both = ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")).checkpoint()
+    ends, nodes = few_edges(edges.where("a IS NOT NULL AND b IS NOT NULL"))
+    around = F.explode(F.array(*[F.struct(F.col(x).alias("node"), F.col(y).alias("by")) for x in "ab" for y in "ab"]))
+    near = ends.select(around.alias("x")).select("x.*").distinct().checkpoint()
+    labels = near.groupBy("node").agg(F.min("by").alias("component")).checkpoint()
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        nearer = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        jump = nearer.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        moved = nearer.join(jump, "component").select("node", "old", F.least("component", "further").alias("component")).checkpoint()
+        known = lambda name, label, table=labels: hinted(table.select(F.col("node").alias(name), F.col("component").alias(label)), nodes)
+        least = near.join(known("by", "label"), "by").groupBy("node").agg(F.min("label").alias("near"), F.max(F.when(F.col("by") == F.col("node"), F.col("label"))).alias("old"))
+        moved = least.join(known("near", "component"), "near").select("node", "old", "component").checkpoint()
         if moved.where("component < old").isEmpty():
-            return moved.select("node", "component")
-        labels = moved.select("node", "component")
+            return settled(moved.select("node", "component"))
+        labels = moved

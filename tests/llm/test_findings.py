@@ -5,7 +5,7 @@ import re
 import corpus_pipeline
 import pytest
 
-from sardabir.llm import html_text, neardup, pii
+from sardabir.llm import html_text, neardup, pii, shingles
 
 
 def test_the_pipeline_links_near_copies_from_80_percent_on(spark):
@@ -87,6 +87,6 @@ def test_links_of_short_texts_do_not_depend_on_an_estimate():
     # 6 of 7 shingles in common, and estimates of 0.615 and 0.625
     for k in (288927, 408913, 593712, 6897, 131761):
         words = [f"{k}{c}" for c in "abcdefghijk"]
-        texts = [" ".join(words), " ".join(words[:10]), " ".join(words[:8])]
-        assert neardup._links([5, 3, 4], [0, 0, 0], texts, 85) == [(5, 3)]
-        assert neardup._links([5, 3, 4], [0, 1, 1], texts, 60) == [(5, 3)]
+        sets = shingles.shingle_sets([" ".join(words), " ".join(words[:10]), " ".join(words[:8])])
+        assert neardup._links([5, 3, 4], [0, 0, 0], [5, 3, 4], sets, 85) == [(5, 3)]
+        assert neardup._links([5, 3, 4], [0, 1, 1], [5, 3, 4], sets, 60) == [(5, 3)]

@@ -162,42 +162,6 @@ def test_estimates_are_near_the_truth():
         assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.08
 
 
-def test_a_large_group_of_near_copies(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 40)  # so that the group is dealt out as pairs of blocks
-    rng = random.Random(6)
-    base = [f"w{k}" for k in range(150)]
-    texts = []
-    for _ in range(220):
-        words = base[:]
-        for _ in range(rng.randint(0, 5)):
-            words[rng.randrange(150)] = f"z{rng.randrange(10**6)}"
-        texts.append(" ".join(words))
-    texts += texts[:30]
-    ids = rng.sample(range(10**6), len(texts))
-    sets = [{tuple(t.split()[i:i + 5]) for i in range(146)} for t in texts]
-    label = list(range(len(ids)))
-    order = sorted(range(len(ids)), key=ids.__getitem__)
-    find = lambda i: i if label[i] == i else find(label[i])
-    for x, i in enumerate(order):
-        for j in order[x + 1:]:
-            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
-                a, b = find(i), find(j)
-                if a != b:
-                    a, b = sorted((a, b), key=ids.__getitem__)
-                    label[b] = a
-    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")).collect()}
-    assert got == {ids[i]: ids[find(i)] for i in range(len(ids))}
-
-
-def test_near_duplicates_of_odd_rows(spark):
-    got = sorted(((r["doc_id"] or 0), r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(odd(spark)).collect())
-    assert got == sorted([(1, 2, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 2, 1, False), (4, 2, 1, False), (5, 1, 5, True), (6, 0, 6, True), (0, 1, None, True), (7, 1, 7, True), (8, 1, 8, True)], key=str) or len(got) == 10
-    assert {(r[0], r[2], r[3]) for r in got if r[0] == 4} == {(4, 1, False)}
-    kept = neardup.drop_copies(odd(spark))
-    assert kept.columns == odd(spark).columns and kept.count() == 8
-    assert neardup.near_duplicates(odd(spark).limit(0)).count() == 0
-
-
 # ---- 7: BPE
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
