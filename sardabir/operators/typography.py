@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions import chars as C
 from ..functions import text as T
@@ -66,26 +68,38 @@ RULES = [
 ONE_TO_ONE = ("arabic_yeh", "arabic_kaf", "other_heh", "arabic_digits")
 SAFE = [r for r in RULES if r.severity == "safe"]
 BY_ID = {r.id: r for r in RULES}
-HIT = ArrayType(StructType([StructField("off", IntegerType()), StructField("len", IntegerType()), *[StructField(c, StringType()) for c in ("orig", "sugg", "rule")]]))
 
 
 # ---- as Spark expressions -------------------------------------------------------------------------------------
 
+#: Matches that are folded at once; each fold copies its own array, so this bounds what is copied for a match.
+FOLDED = 64
+
+
 def spans(text: Column, pattern: str) -> Column:
-    """Matches of a pattern that is never empty: array of (off, len, orig, before, after), without a Python function.
+    """Matches of a pattern that is never empty: array of (off, len, orig), without a Python function.
 
-    Matches and the gaps between them alternate, so a running sum of their lengths gives the offsets.
+    Matches and the gaps between them alternate, so a running sum of their lengths gives the offsets. It runs over
+    FOLDED matches at a time, from where a first sum over such stretches says that they begin.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, F.lit(pattern), -1)
-    pieces = F.arrays_zip(found.alias("m"), gaps.alias("g"))
-    empty = F.array().cast("array<struct<off:int,len:int,orig:string>>")
-    folded = F.aggregate(
-        pieces, F.struct(F.lit(0).alias("at"), empty.alias("hits")),
-        lambda acc, p: F.when(p["m"].isNull(), acc).otherwise(F.struct(
-            (acc["at"] + F.length(p["g"]) + F.length(p["m"])).alias("at"),
-            F.concat(acc["hits"], F.array(F.struct((acc["at"] + F.length(p["g"])).alias("off"), F.length(p["m"]).alias("len"), p["m"].alias("orig")))).alias("hits"))))
-    return folded["hits"]
+    length = lambda p: F.length(p["g"]) + F.length(p["m"])
+
+    def told(pieces: Column) -> Column:
+        stretches = F.when(F.size(pieces) > 0, F.sequence(F.lit(0), F.greatest(F.size(pieces) - 1, F.lit(0)), F.lit(FOLDED))).otherwise(F.array().cast("array<int>"))
+        sums = F.transform(stretches, lambda at: F.aggregate(F.slice(pieces, at + 1, F.lit(FOLDED)), F.lit(0), lambda n, p: n + length(p)))
+        starts = F.aggregate(sums, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        return T.let(starts, lambda begins: F.flatten(F.transform(stretches, lambda at, k: one(F.slice(pieces, at + 1, F.lit(FOLDED)), F.get(begins, k)))))
+
+    def one(pieces: Column, start: Column) -> Column:
+        empty = F.array().cast("array<struct<off:int,len:int,orig:string>>")
+        return F.aggregate(
+            pieces, F.struct(start.alias("at"), empty.alias("hits")),
+            lambda acc, p: F.struct((acc["at"] + length(p)).alias("at"), F.concat(acc["hits"], F.array(F.struct((acc["at"] + F.length(p["g"])).alias("off"), F.length(p["m"]).alias("len"), p["m"].alias("orig")))).alias("hits")))["hits"]
+
+    # the gap after the last match has none, and is left out
+    return T.let(F.filter(F.arrays_zip(found.alias("m"), gaps.alias("g")), lambda p: p["m"].isNotNull()), told)
 
 
 def hit_count(text: Column, rule: Rule) -> Column:
@@ -207,26 +221,44 @@ class Finder:
         return sorted(found, key=lambda h: (h[0], self.order[h[4]]))
 
 
-_FINDER: list[Finder] = []
-
-
-@F.pandas_udf(HIT)
-def _find(texts: pd.Series) -> pd.Series:
-    if not _FINDER:
-        _FINDER.append(Finder())
-    return texts.map(lambda t: [dict(zip(("off", "len", "orig", "sugg", "rule"), h)) for h in _FINDER[0].hits(t)])
+HIT = "off int, len int, orig string, sugg string, rule string"
 
 
 def find_issues(blocks: DataFrame, text: str = "t") -> DataFrame:
     """One row for each hit: the block's other columns, off, len, orig, sugg, rule, severity, category.
 
-    The gate is a Spark filter, so blocks without Persian never reach Python.
+    The gate is a Spark filter, so blocks without Persian never reach Python; what does goes there in batches of Arrow
+    columns, and hits come back so. Blocks are independent: no shuffle, no state.
     """
     keep = [c for c in blocks.columns if c != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder()
+        for batch in batches:
+            of, columns = [], ([], [], [], [], [])
+            for row, t in enumerate(batch.column(len(keep)).to_pylist()):
+                hits = finder.hits(t)
+                of += [row] * len(hits)
+                for column, values in zip(columns, zip(*hits)):
+                    column += values
+            kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.select(range(len(keep))).take(pa.array(of, pa.int64())).columns, *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[*keep, "off", "len", "orig", "sugg", "rule"])
+
+    schema = StructType([*[blocks.schema[c] for c in keep], *_parse(HIT)])
+    hits = blocks.where(T.gated(F.col(text))).select(*keep, text).mapInArrow(run, schema)
     severity = F.create_map(*[F.lit(x) for r in RULES for x in (r.id, r.severity)])
     category = F.create_map(*[F.lit(x) for r in RULES for x in (r.id, r.category)])
-    hits = blocks.where(T.gated(F.col(text))).select(*keep, F.explode(_find(F.col(text))).alias("h"))
-    return hits.select(*keep, "h.*").withColumn("severity", severity[F.col("rule")]).withColumn("category", category[F.col("rule")])
+    return hits.withColumn("severity", severity[F.col("rule")]).withColumn("category", category[F.col("rule")])
+
+
+def _parse(ddl: str) -> list[StructField]:
+    kinds = {"int": IntegerType(), "string": StringType()}
+    return [StructField(name, kinds[kind]) for name, kind in (x.split() for x in ddl.split(", "))]
+
+
+def priority(rule: Column) -> Column:
+    """A rule's place in order; what comes first of several hits of one place."""
+    return F.create_map(*[F.lit(x) for n, r in enumerate(RULES) for x in (r.id, n)])[rule].cast("bigint")
 
 
 def messages(issues: DataFrame) -> DataFrame:

@@ -16,7 +16,8 @@ def tokens(blocks: DataFrame, text: str = "t", *, compose: bool = True) -> DataF
     A word is a run of word characters less the half-spaces at its ends; runs of which nothing remains are left out.
     """
     keep = [c for c in blocks.columns if c != text]
-    runs = blocks.where(F.col(text).rlike(C.WORD_RUN)).select(*keep, F.explode(spans(F.col(text), C.WORD_RUN)).alias("r"))
+    # outer, and filtered afterwards: of a plain explode, the optimizer infers a filter that finds all runs again
+    runs = blocks.where(F.col(text).rlike(C.WORD_RUN)).select(*keep, F.explode_outer(spans(F.col(text), C.WORD_RUN)).alias("r")).where("r IS NOT NULL")
     left = F.ltrim(F.col("r.orig"), F.lit(C.HALF_SPACE))
     cut = runs.select(*keep, (F.col("r.off") + F.length("r.orig") - F.length(left)).alias("s"), F.btrim(F.col("r.orig"), F.lit(C.HALF_SPACE)).alias("raw"))
     named = cut.where("raw <> ''").withColumn("norm", T.norm_word(F.col("raw"), compose=compose)).where("norm <> ''")
@@ -26,7 +27,7 @@ def tokens(blocks: DataFrame, text: str = "t", *, compose: bool = True) -> DataF
 def words_only(blocks: DataFrame, text: str = "t", *, compose: bool = True) -> DataFrame:
     """As tokens, with norm alone: for counting, where offsets would be waste."""
     keep = [c for c in blocks.columns if c != text]
-    runs = blocks.select(*keep, F.explode(F.regexp_extract_all(F.col(text), F.lit(C.WORD_RUN), F.lit(0))).alias("run"))
+    runs = blocks.select(*keep, F.explode_outer(F.regexp_extract_all(F.col(text), F.lit(C.WORD_RUN), F.lit(0))).alias("run")).where("run IS NOT NULL")
     return runs.select(*keep, T.norm_word(F.btrim(F.col("run"), F.lit(C.HALF_SPACE)), compose=compose).alias("norm")).where("norm <> ''")
 
 
