@@ -92,14 +92,17 @@ def _(spark, d):
     return stats_of(spark, d).select("word", F.explode(T.deletes(F.col("word"))).alias("less"))
 
 
+#: Rare words and frequent ones that share a string with one character less, or are one; as corpus_typos looks for them.
+_KEYS = "unnest(list_distinct([word] || list_transform(range(1, length(word) + 1), lambda k: left(word, k - 1) || substr(word, k + 1)))) AS key"
 _PAIRS = f"""{S.STATS},
-        often AS (SELECT word FROM stats WHERE tf >= 30),
-        pairs AS (SELECT {S.PAIR_COLUMNS} FROM (SELECT a.word AS w, b.word AS c FROM often a JOIN often b ON a.word < b.word AND left(a.word, 1) = left(b.word, 1) AND abs(length(a.word) - length(b.word)) <= 1))"""
+        rare AS (SELECT word AS w, {_KEYS} FROM stats WHERE tf <= 3), often AS (SELECT word AS c, {_KEYS} FROM stats WHERE tf >= 30),
+        pairs AS (SELECT {S.PAIR_COLUMNS} FROM (SELECT DISTINCT w, c FROM rare JOIN often USING (key) WHERE w <> c))"""
 
 
 def _pairs(spark, d):
-    some = stats_of(spark, d).where("tf >= 30").select("word")
-    return some.select(F.col("word").alias("w"), F.left("word", F.lit(1)).alias("k")).join(some.select(F.col("word").alias("c"), F.left("word", F.lit(1)).alias("k")), "k").where("w < c AND abs(length(w) - length(c)) <= 1")
+    keys = lambda rows, name: rows.select(F.col("word").alias(name), F.explode_outer(F.array_union(F.array("word"), T.deletes(F.col("word")))).alias("key"))
+    stats = kept_stats(spark, d)
+    return keys(stats.where("tf <= 3"), "w").join(keys(stats.where("tf >= 30"), "c"), "key").select("w", "c").where("w <> c").distinct()
 
 
 @query("edit1", f"WITH {_PAIRS} SELECT w, c, {S.one_edit('w', 'c')} AS v FROM pairs")
@@ -107,9 +110,9 @@ def _(spark, d):
     return _pairs(spark, d).select("w", "c", T.is_one_edit(F.col("w"), F.col("c")).alias("v"))
 
 
-@query("morph_variant", f"WITH {_PAIRS} SELECT w, c, {S.INFLECTION} AS v FROM pairs WHERE {S.one_edit('w', 'c')}")
+@query("morph_variant", f"WITH {_PAIRS} SELECT w, c, {S.INFLECTION} AS v FROM pairs")
 def _(spark, d):
-    return _pairs(spark, d).where(T.is_one_edit(F.col("w"), F.col("c"))).select("w", "c", T.is_inflection(F.col("w"), F.col("c")).alias("v"))
+    return _pairs(spark, d).select("w", "c", T.is_inflection(F.col("w"), F.col("c")).alias("v"))
 
 
 _SPAN = "CAST(length(t) // 3 AS INTEGER) AS off, CAST(length(t) // 5 AS INTEGER) AS len"
@@ -159,22 +162,27 @@ for _rule in typography.RULES:
     _rule_query(_rule)
 
 
-@query("rules_find_issues")
+_FOUND = S.found_sql()
+
+
+@query("rules_find_issues", f"WITH {_FOUND} SELECT * FROM found")
 def _(spark, d):
     return typography.messages(typography.find_issues(B(spark, d)))
 
 
-@query("rules_apply_safe")
+@query("rules_apply_safe", f"WITH {S.fixed_sql()} SELECT {_KEY}, x AS fixed, fixes FROM fixed")
 def _(spark, d):
-    return typography.apply_safe(B(spark, d).select(*KEY, "t")).drop("t").select(*KEY, "fixed", F.map_entries("fixes").alias("fixes"))
+    told = F.transform(F.map_entries("fixes"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return typography.apply_safe(B(spark, d).select(*KEY, "t")).select(*KEY, "fixed", F.array_join(told, ",").alias("fixes"))
 
 
-@query("safe_counts")
+@query("safe_counts", f"WITH {_FOUND} SELECT book, rule, count(*) AS n FROM found WHERE severity = 'safe' GROUP BY book, rule")
 def _(spark, d):
     return I.safe_counts(typography.find_issues(B(spark, d)))
 
 
-@query("safe_examples")
+@query("safe_examples", f"""WITH {_FOUND}
+        SELECT * EXCLUDE (msg_fa, msg_en) FROM (SELECT *, CAST(row_number() OVER (PARTITION BY book, rule ORDER BY file_pos, i, off) AS INTEGER) AS nth FROM found WHERE severity = 'safe') WHERE nth <= 15""")
 def _(spark, d):
     return I.safe_examples(typography.find_issues(B(spark, d)))
 
@@ -387,20 +395,17 @@ def _(spark, d):
     return I.review_order(deduped(spark, d), spines).select("book", "f", "i", "off", "seq", "nth")
 
 
-# the flagship: books by the density of three rules' hits
-_TOP = f"""WITH {S.GATED}, hits AS (SELECT book, {S.n_of('t', '[\\x{064A}\\x{0649}]')} + {S.n_of('t', '\\x{0640}+')} + {S.n_of('t', '\\x{200C}{2,}')} AS n FROM gated)
-        SELECT book, words, CAST(coalesce(n, 0) AS BIGINT) AS hits, coalesce(n, 0) / CASE WHEN words = 0 THEN 1 ELSE words END * 1000 AS density
-        FROM {_BOOK_WORDS} LEFT JOIN (SELECT book, sum(n) AS n FROM hits GROUP BY book) USING (book)"""
+_TALLY = "count(*) FILTER (category = '{0}') AS {0}"
 
 
-@query("top_books_by_density", _TOP)
+# the flagship: books by the density of all that the rules leave to a reviewer; style does not count
+@query("top_books_by_density", f"""WITH {_FOUND}, tallies AS (SELECT book, {', '.join(_TALLY.format(c) for c in I.CATEGORIES)} FROM found WHERE severity <> 'safe' GROUP BY book)
+        SELECT *, (grammar + spelling + typography) / CASE WHEN words = 0 THEN 1 ELSE words END * 1000 AS density
+        FROM (SELECT book, words, {', '.join(f'coalesce({c}, 0) AS {c}' for c in I.CATEGORIES)} FROM {_BOOK_WORDS} LEFT JOIN tallies USING (book))""")
 def top_books_by_density(spark, d):
     lines = B(spark, d)
-    some = [typography.BY_ID[r] for r in ("arabic_yeh", "tatweel", "zwnj_duplicate")]
-    count = sum((typography.hit_count(F.col("t"), r) for r in some[1:]), typography.hit_count(F.col("t"), some[0]))
-    hits = lines.where(T.gated(F.col("t"))).select("book", count.alias("n")).groupBy("book").agg(F.sum("n").alias("n"))
-    told = words.book_words(lines).join(hits, "book", "left").select("book", "words", F.coalesce("n", F.lit(0)).cast("bigint").alias("hits"))
-    return told.withColumn("density", F.col("hits") / F.when(F.col("words") == 0, 1).otherwise(F.col("words")) * 1000).orderBy(F.desc("density"), "book")
+    counts = I.category_counts(I.for_review(typography.find_issues(lines.select("book", "t"))))
+    return I.top_books(I.book_density(words.book_words(lines), counts))
 
 
 # ---- sources --------------------------------------------------------------------------------------------------
@@ -525,9 +530,9 @@ def packed(spark, d):
     return review.chunks(B(spark, d))
 
 
-def requests(spark, d):
+def requests(spark, d, **how):
     books = B(spark, d).select("book").distinct()
-    return review.requests(packed(spark, d), books.select("book", F.when(F.col("book") < "src5", F.col("book")).alias("register")), "any")
+    return review.requests(packed(spark, d), books.select("book", F.when(F.col("book") < "src5", F.col("book")).alias("register")), "any", **how)
 
 
 @query("chunk_paragraphs", f"{_CHUNKS} SELECT * FROM chunked")
@@ -545,14 +550,19 @@ def _(spark, d):
     return requests(spark, d).select("cid", "nth", "book", "content")
 
 
-@query("request_params")
+_PROMPT = review.PROMPT.replace("'", "''")
+
+
+@query("request_params", f"""{_MESSAGES} SELECT 'c' || lpad(CAST(nth AS VARCHAR), 7, '0') AS cid,
+        CAST(json_object('model', 'any', 'max_tokens', {review.MAX_TOKENS}, 'system', '{_PROMPT}', 'messages', json_array(json_object('role', 'user', 'content', content))) AS VARCHAR) AS params FROM requests""")
 def _(spark, d):
     return requests(spark, d).select("cid", "params")
 
 
-@query("batch_partition", f"{_MESSAGES} SELECT nth // 5000 AS batch, count(*) AS n FROM requests GROUP BY 1")
+@query("batch_partition", f"{_MESSAGES} SELECT nth // 50 AS batch, count(*) AS n, 'c' || lpad(CAST(min(nth) AS VARCHAR), 7, '0') AS first_cid, 'c' || lpad(CAST(max(nth) AS VARCHAR), 7, '0') AS last_cid FROM requests GROUP BY 1")
 def _(spark, d):
-    return requests(spark, d).groupBy("batch").agg(F.count("*").alias("n"))
+    # batches of 50, as the made-up books ask for fewer requests than one full batch takes
+    return review.batches(requests(spark, d, per_batch=50))
 
 
 @query("systematic_sample", f"{_MESSAGES}, one AS (SELECT greatest(1, count(*) // 25) AS step FROM requests) SELECT nth, book FROM requests, one WHERE nth % step = 0 AND nth < step * 25")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions import chars as C
-from .persianized import blocks_sql, _sql_text
+from ..operators.typography import RULES
+from .persianized import _sql_text, blocks_sql
 
 ZW = "chr(8204)"
 MARKS = f"[{C.members(C.MARKS)}]"
@@ -91,67 +94,114 @@ TOKENS = f"""pieces AS (
             SELECT book, file, file_pos, i, CAST(s AS INTEGER) AS s, CAST(s + length(raw) AS INTEGER) AS e, raw, {norm('raw')} AS norm FROM cut WHERE raw <> '')"""
 
 
-def rule_count(core: str, holds: str) -> str:
-    """Hits per book of a rule whose pattern cannot be written for RE2 as a whole.
-
-    ``core`` is what the rule consumes; ``holds`` tests before (the text up to the match, back to the one before it),
-    m (the match) and after (the text behind it, through the next match).
-    """
-    return f"""WITH {GATED},
-        pieces AS (SELECT book, regexp_extract_all(t, '{core}') AS ms, string_split_regex(t, '{core}') AS gs FROM gated),
-        hits AS (
-            SELECT book, m FROM (
-                SELECT book, ms[k] AS m, coalesce(ms[k - 1], '') || gs[k] AS before, gs[k + 1] || coalesce(ms[k + 1], '') AS after
-                FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS k FROM pieces)) WHERE {holds})
-        SELECT book, count(h.m) AS n FROM (SELECT DISTINCT book FROM blocks) b LEFT JOIN hits h USING (book) GROUP BY book"""
-
-
-def plain_count(pattern: str) -> str:
-    return f"""WITH {GATED}
-        SELECT book, CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM (SELECT DISTINCT book FROM blocks) b
-        LEFT JOIN (SELECT book, {n_of('t', pattern)} AS n FROM gated) g USING (book) GROUP BY book"""
-
-
 _ENDS_PL = f"regexp_matches(before, '{C.LETTER}$')"
 _NO_WORD_BEFORE = f"NOT regexp_matches(before, '[{C.L}\\x{{200C}}]$')"
 _NO_WORD_AFTER = f"NOT regexp_matches(after, '^[{C.L}\\x{{200C}}]')"
 _BEGINS_PL = f"regexp_matches(after, '^{C.LETTER}')"
 _S = C.SPACE
 _NEAR = "regexp_replace(before, '(?s)^.*?(.{0,2})$', '\\1') || ' ' || left(after, 2)"
-_PUNCT = "[\\x{060C}\\x{061B}\\x{061F}!]"
 _REPEATED = "از به در که را با این آن تا برای یک".split()
 
-RULE_SQL = {
-    "bom": plain_count("\\x{FEFF}"),
-    "presentation_forms": plain_count(f"[{C.members(C.PRESENTATION)}]+"),
-    "arabic_yeh": plain_count("[\\x{064A}\\x{0649}]"),
-    "arabic_kaf": plain_count("\\x{0643}"),
-    "other_heh": plain_count("[\\x{06BE}\\x{06D5}]"),
-    "arabic_digits": plain_count("[\\x{0660}-\\x{0669}]"),
-    "latin_comma": rule_count(f"{_S}*,", _ENDS_PL),
-    "latin_question": rule_count(f"{_S}*\\?", _ENDS_PL),
-    "latin_semicolon": rule_count(f"{_S}*;", _ENDS_PL),
-    "space_before_punct": rule_count(f"{_S}+", f"{_ENDS_PL} AND regexp_matches(after, '^([\\x{{060C}}\\x{{061B}}\\x{{061F}}!:]|\\.([^.]|$))')"),
-    "space_after_punct": rule_count(_PUNCT, _BEGINS_PL),
-    "zwnj_duplicate": plain_count("\\x{200C}{2,}"),
-    "zwnj_dangling": f"""WITH {GATED},
-        pieces AS (SELECT book, regexp_extract_all(t, '\\x{{200C}}+') AS ms, string_split_regex(t, '\\x{{200C}}+') AS gs FROM gated),
-        runs AS (SELECT book, length(ms[k]) AS n, regexp_matches(gs[k], '{C.LETTER}$') AS after_letter, regexp_matches(gs[k + 1], '^{C.LETTER}') AS before_letter
-                 FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS k FROM pieces)),
-        tolls AS (SELECT book, CASE WHEN NOT before_letter THEN 1 WHEN n >= 2 THEN 2 WHEN after_letter THEN 0 ELSE 1 END AS n FROM runs)
-        SELECT book, CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM (SELECT DISTINCT book FROM blocks) b LEFT JOIN tolls USING (book) GROUP BY book""",
-    "zwnj_mi": rule_count(f"ن?می{_S}", f"{_NO_WORD_BEFORE} AND regexp_matches(after, '^{C.LETTER}+[میدت]([^{C.L}\\x{{200C}}]|$)')"),
-    "zwnj_ha": rule_count(f"{_S}(?:هایمان|هایتان|هایشان|هایی|هایم|هایت|هایش|های|ها)", f"{_ENDS_PL} AND {_NO_WORD_AFTER}"),
-    "zwnj_mi_other": rule_count(f"ن?می{_S}", f"{_NO_WORD_BEFORE} AND regexp_matches(after, '^{C.LETTER}{{2}}')"),
-    "zwnj_tar": rule_count(f"{_S}(?:ترین|تر)", f"{_ENDS_PL} AND {_NO_WORD_AFTER}"),
-    "zwnj_after_heh": rule_count(f"{_S}(?:ایم|اید|اند|ام|ای)", f"regexp_matches(before, '{C.LETTER}ه$') AND {_NO_WORD_AFTER}"),
-    "repeated_word": rule_count("(?:" + "|".join(f"{w}{_S}+{w}" for w in _REPEATED) + ")", f"{_NO_WORD_BEFORE} AND {_NO_WORD_AFTER}"),
-    "period_no_space": rule_count("\\.", f"{_ENDS_PL} AND {_BEGINS_PL}"),
-    "tatweel": plain_count("\\x{0640}+"),
-    "latin_digits": rule_count("[0-9]+", f"regexp_matches({_NEAR}, '{C.LETTER}') AND NOT regexp_matches({_NEAR}, '[A-Za-z]')"),
-    "latin_quotes": rule_count('"[^"\\n]{1,300}"', f"regexp_matches(m, '{C.LETTER}') AND NOT regexp_matches(m, '[A-Za-z]')"),
+
+def _persian(x: str) -> str:
+    return f"regexp_matches({x}, '{C.LETTER}') AND NOT regexp_matches({x}, '[A-Za-z]')"
+
+
+
+#: A rule for RE2, which knows no lookaround: what it consumes, what must hold besides, and what it puts in place.
+#: ``before`` is the text up to the match, back to the one before it; ``m`` the match; ``after`` the text behind it,
+#: through the next match.
+SPLIT = {
+    "bom": ("\\x{FEFF}", "true", "''"),
+    "presentation_forms": (f"[{C.members(C.PRESENTATION)}]+", "true", "replace(m, 'ﻻ', 'لا')"),
+    "arabic_yeh": ("[\\x{064A}\\x{0649}]", "true", "'ی'"),
+    "arabic_kaf": ("\\x{0643}", "true", "'ک'"),
+    "other_heh": ("[\\x{06BE}\\x{06D5}]", "true", "'ه'"),
+    "arabic_digits": ("[\\x{0660}-\\x{0669}]", "true", f"translate(m, '{C.ARABIC_DIGITS}', '{C.PERSIAN_DIGITS}')"),
+    "latin_comma": (f"{_S}*,", _ENDS_PL, "'،'"),
+    "latin_question": (f"{_S}*\\?", _ENDS_PL, "'؟'"),
+    "latin_semicolon": (f"{_S}*;", _ENDS_PL, "'؛'"),
+    "space_before_punct": (f"{_S}+", f"{_ENDS_PL} AND regexp_matches(after, '^([\\x{{060C}}\\x{{061B}}\\x{{061F}}!:]|\\.([^.]|$))')", "''"),
+    "space_after_punct": ("[\\x{060C}\\x{061B}\\x{061F}!]", _BEGINS_PL, "m || ' '"),
+    "zwnj_duplicate": ("\\x{200C}{2,}", "true", ZW),
+    "zwnj_dangling": ("\\x{200C}+", f"length(m) = 1 AND NOT ({_ENDS_PL} AND {_BEGINS_PL})", "''"),
+    "zwnj_mi": (f"ن?می{_S}", f"{_NO_WORD_BEFORE} AND regexp_matches(after, '^{C.LETTER}+[میدت]([^{C.L}\\x{{200C}}]|$)')", f"left(m, length(m) - 1) || {ZW}"),
+    "zwnj_ha": (f"{_S}(?:هایمان|هایتان|هایشان|هایی|هایم|هایت|هایش|های|ها)", f"{_ENDS_PL} AND {_NO_WORD_AFTER}", f"{ZW} || substr(m, 2)"),
+    "zwnj_mi_other": (f"ن?می{_S}", f"{_NO_WORD_BEFORE} AND regexp_matches(after, '^{C.LETTER}{{2}}')", f"left(m, length(m) - 1) || {ZW}"),
+    "zwnj_tar": (f"{_S}(?:ترین|تر)", f"{_ENDS_PL} AND {_NO_WORD_AFTER}", f"{ZW} || substr(m, 2)"),
+    "zwnj_after_heh": (f"{_S}(?:ایم|اید|اند|ام|ای)", f"regexp_matches(before, '{C.LETTER}ه$') AND {_NO_WORD_AFTER}", f"{ZW} || substr(m, 2)"),
+    "repeated_word": ("(?:" + "|".join(f"{w}{_S}+{w}" for w in _REPEATED) + ")", f"{_NO_WORD_BEFORE} AND {_NO_WORD_AFTER}", f"regexp_extract(m, '^{C.LETTER}+')"),
+    "period_no_space": ("\\.", f"{_ENDS_PL} AND {_BEGINS_PL}", "'. '"),
+    "tatweel": ("\\x{0640}+", "true", "''"),
+    "latin_digits": ("[0-9]+", _persian(f"({_NEAR})"), f"translate(m, '0123456789', '{C.PERSIAN_DIGITS}')"),
+    "latin_quotes": ('"[^"\\n]{1,300}"', _persian("m"), "'«' || substr(m, 2, length(m) - 2) || '»'"),
 }
 
+
+def _places(rows: str, text: str, core: str, keep: str = "book") -> str:
+    """Every match of ``core`` in the texts of ``rows``: the columns ``keep``, off, before, m and after."""
+    return f"""(SELECT {keep}, CAST(length(array_to_string(gs[1:k], '')) + length(array_to_string(ms[1:k - 1], '')) AS INTEGER) AS off, ms[k] AS m, coalesce(ms[k - 1], '') || gs[k] AS before, gs[k + 1] || coalesce(ms[k + 1], '') AS after
+            FROM (SELECT {keep}, ms, gs, unnest(range(1, len(ms) + 1)) AS k FROM (SELECT {keep}, regexp_extract_all({text}, '{core}') AS ms, string_split_regex({text}, '{core}') AS gs FROM {rows})))"""
+
+
+def rule_count(rule: str) -> str:
+    core, holds, _ = SPLIT[rule]
+    if rule == "zwnj_dangling":  # a longer run before a letter gives two hits: all but its last, and that
+        hits = f"SELECT book, unnest(range(CASE WHEN NOT {_BEGINS_PL} THEN 1 WHEN length(m) > 1 THEN 2 WHEN {_ENDS_PL} THEN 0 ELSE 1 END)) AS m FROM {_places('gated', 't', core)}"
+    elif holds == "true":
+        return f"""WITH {GATED}
+        SELECT book, CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM (SELECT DISTINCT book FROM blocks) b
+        LEFT JOIN (SELECT book, {n_of('t', core)} AS n FROM gated) g USING (book) GROUP BY book"""
+    else:
+        hits = f"SELECT book, m FROM {_places('gated', 't', core)} WHERE {holds}"
+    return f"""WITH {GATED}, hits AS ({hits})
+        SELECT book, count(h.m) AS n FROM (SELECT DISTINCT book FROM blocks) b LEFT JOIN hits h USING (book) GROUP BY book"""
+
+
+RULE_SQL = {rule: rule_count(rule) for rule in SPLIT}
+_BLOCK = "book, file, file_pos, i"
+
+
+def found_sql() -> str:
+    """All hits as common table expressions, ``found``: rules take their places one after another."""
+    single, raw = ("arabic_yeh", "arabic_kaf", "other_heh", "arabic_digits"), ("bom", "presentation_forms", "arabic_yeh", "arabic_kaf", "other_heh", "arabic_digits")
+    old, now = "".join(C.TO_PERSIAN) + C.ARABIC_DIGITS, "".join(C.TO_PERSIAN.values()) + C.PERSIAN_DIGITS
+    parts = [f"worked AS MATERIALIZED (SELECT *, translate(t, '{old}', '{now}') AS w FROM gated)"]
+    taken = None
+    for n, (rule, (core, holds, put)) in enumerate(SPLIT.items()):
+        hits = f"SELECT {_BLOCK}, off, CAST(length(m) AS INTEGER) AS len, {put} AS sugg, '{rule}' AS rule, {n} AS nth FROM {_places('worked', 't' if rule in raw else 'w', core, _BLOCK)} WHERE {holds} AND {put} <> m"
+        if rule in single or taken is None:
+            parts.append(f"kept{n} AS MATERIALIZED ({hits})")
+        else:
+            parts.append(f"kept{n} AS MATERIALIZED (SELECT h.* FROM ({hits}) h WHERE NOT EXISTS (SELECT 1 FROM {taken} p WHERE p.book = h.book AND p.file = h.file AND p.i = h.i AND p.off < h.off + h.len AND h.off < p.off + p.len))")
+        if rule not in single:
+            parts.append(f"taken{n} AS MATERIALIZED (SELECT * FROM kept{n}" + (f" UNION ALL SELECT * FROM {taken})" if taken else ")"))
+            taken = f"taken{n}"
+    every = " UNION ALL ".join(f"SELECT * FROM kept{n}" for n in range(len(SPLIT)))
+    told = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in (r.id, r.severity, r.category, r.message_fa, r.message_en)) + ")" for r in RULES)
+    parts.append(f"""found AS MATERIALIZED (
+            SELECT h.book, h.file, h.file_pos, h.i, off, len, substr(t, off + 1, len) AS orig, sugg, rule, severity, category, msg_fa, msg_en
+            FROM ({every}) h JOIN gated g ON g.book = h.book AND g.file = h.file AND g.i = h.i JOIN (VALUES {told}) AS r(rule, severity, category, msg_fa, msg_en) USING (rule))""")
+    return f"{GATED}, " + ", ".join(parts)
+
+
+def fixed_sql() -> str:
+    """Blocks after all safe rules, one after another, as ``fixed``: x, and what each rule changed (c1, c2, ...)."""
+    parts, rules = [f"fixed0 AS MATERIALIZED (SELECT {_BLOCK}, t AS x, {gated()} AS ok FROM blocks)"], [r for r in RULES if r.severity == "safe"]
+    names = {"before": "(coalesce(ms[k - 1], '') || gs[k])", "m": "ms[k]", "after": "(gs[k + 1] || coalesce(ms[k + 1], ''))"}
+    at_k = lambda sql: re.sub(r"(?<![\w'])(before|after|m)(?![\w'])", lambda x: names[x[1]], sql)
+    counts = ""
+    for n, rule in enumerate(rules, 1):
+        core, holds, put = SPLIT[rule.id]
+        parts.append(f"cut{n} AS MATERIALIZED (SELECT *, regexp_extract_all(x, '{core}') AS ms, string_split_regex(x, '{core}') AS gs FROM fixed{n - 1})")
+        parts.append(f"held{n} AS MATERIALIZED (SELECT *, list_transform(range(1, len(ms) + 1), lambda k: ok AND {at_k(f'({holds}) AND {put} <> m')}) AS hs FROM cut{n})")
+        parts.append(f"""fixed{n} AS MATERIALIZED (
+            SELECT {_BLOCK}, ok, array_to_string(list_transform(range(1, len(gs) + 1), lambda k: gs[k] || coalesce(CASE WHEN hs[k] THEN {at_k(put)} ELSE ms[k] END, '')), '') AS x{counts}, len(list_filter(hs, lambda h: h)) AS c{n} FROM held{n})""")
+        counts += f", c{n}"
+    told = ", ".join(f"CASE WHEN c{n} > 0 THEN '{r.id}=' || c{n} END" for n, r in enumerate(rules, 1))
+    return f"{BLOCKS}, {', '.join(parts)}, fixed AS (SELECT *, concat_ws(',', {told}) AS fixes FROM fixed{len(rules)})"
+
+
 #: Findings made up from events, with every source, severity and category, and with spans that meet.
 FINDINGS = """findings AS MATERIALIZED (
             SELECT 'b' || (user_id % 40) AS book, 'f' || (event_id % 5) AS f, CAST(event_id % 4 AS INTEGER) AS i, CAST((event_id // 7) % 9 * 5 AS INTEGER) AS off, CAST(2 + (event_id // 3) % 2 AS INTEGER) AS len,
