@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import chars as C
 from .typography import SAFE, Finder, _python_form
 
-# Elements whose text is never changed.
+# Elements whose text is never changed, and what counts as markup and as an element's name.
 UNTOUCHED = frozenset("script style head rt rp svg math code pre".split())
 MARKUP = re.compile(r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<![^>]*>|<[^>]+>", re.S)
 NAME = re.compile(r"<\s*(/?)\s*([A-Za-z][\w:.\-]*)")
@@ -58,25 +58,30 @@ class Fixer:
         return "".join(out), {k: n for k, n in counts.items() if n}
 
     def book(self, content: bytes, spine: list[str]) -> tuple[bytes, dict[str, int]]:
-        """A corrected copy of an ePub: the same entries, ``mimetype`` first and stored; only UTF-8 documents of the spine change."""
+        """A corrected copy of an ePub, and the number of changes by rule.
+
+        The format asks for ``mimetype`` to come first, without compression. Other entries keep name, time, attributes
+        and way of compression; of those in ``spine``, the ones that are UTF-8 text get fixed.
+        """
         counts: Counter = Counter()
-        source, target = zipfile.ZipFile(io.BytesIO(content)), io.BytesIO()
-        entries = sorted(source.infolist(), key=lambda e: e.filename != "mimetype")
-        with zipfile.ZipFile(target, "w") as copy:
-            for entry in entries:
-                data = source.read(entry.filename)
-                if entry.filename in spine:
-                    try:
-                        fixed, n = self.markup(data.decode("utf-8"))
-                        counts.update(n)
-                        data = fixed.encode("utf-8")
-                    except UnicodeDecodeError:
-                        pass
-                new = zipfile.ZipInfo(entry.filename, entry.date_time)
-                new.external_attr = entry.external_attr
-                new.compress_type = zipfile.ZIP_STORED if entry.filename == "mimetype" else entry.compress_type
-                copy.writestr(new, data)
-        return target.getvalue(), dict(counts)
+        with zipfile.ZipFile(io.BytesIO(content)) as book:
+            entries = {e.filename: (e, book.read(e)) for e in book.infolist()}
+        for name in set(spine) & entries.keys():
+            entry, data = entries[name]
+            try:
+                text, changed = self.markup(data.decode("utf-8"))
+            except UnicodeDecodeError:
+                continue  # its bytes go over as they are
+            counts.update(changed)
+            entries[name] = entry, text.encode("utf-8")
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as book:
+            for name in [*(n for n in ("mimetype",) if n in entries), *(n for n in entries if n != "mimetype")]:
+                entry, data = entries[name]
+                told = zipfile.ZipInfo(name, entry.date_time)
+                told.external_attr, told.compress_type = entry.external_attr, entry.compress_type if name != "mimetype" else zipfile.ZIP_STORED
+                book.writestr(told, data)
+        return out.getvalue(), dict(counts)
 
 
 def fix_markup(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -6,8 +6,9 @@ The reviewer itself is a function of a request; the engine never calls a network
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,21 +32,35 @@ def chunks(blocks: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     """book, chunk (from 0), pos (from 0), f, i, t: greedy packing of a book's paragraphs in order.
 
     A paragraph that would take a chunk beyond ``max_chars`` begins the next one. That depends on all before, so a
-    fold runs over each book's lengths; the texts stay out of it and are joined back.
+    book's lengths stream through one task in order; the texts stay out of it and are joined back.
     """
-    ready = chunkable(blocks).select("book", "file_pos", F.col("file").alias("f"), "i", "t")
-    start = "CAST(array() AS array<struct<file_pos:int,i:int,chunk:int,pos:int>>)"
-    folded = ready.groupBy("book").agg(F.array_sort(F.collect_list(F.struct(F.col("file_pos").cast("int").alias("file_pos"), F.col("i").cast("int").alias("i"), F.length("t").alias("n")))).alias("ps"))
-    # the state alone is folded; places are read off the sizes it leaves, one array entry for each paragraph
-    state = F.aggregate(
-        "ps", F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("size"), F.lit(0).alias("pos"), F.expr(start).alias("out")),
-        lambda s, p: F.when((s["pos"] > 0) & (s["size"] + p["n"] > max_chars), F.struct(
-            (s["chunk"] + 1).alias("chunk"), p["n"].alias("size"), F.lit(1).alias("pos"),
-            F.concat(s["out"], F.array(F.struct(p["file_pos"].alias("file_pos"), p["i"].alias("i"), (s["chunk"] + 1).alias("chunk"), F.lit(0).alias("pos")))).alias("out"))).otherwise(F.struct(
-                s["chunk"].alias("chunk"), (s["size"] + p["n"]).alias("size"), (s["pos"] + 1).alias("pos"),
-                F.concat(s["out"], F.array(F.struct(p["file_pos"].alias("file_pos"), p["i"].alias("i"), s["chunk"].alias("chunk"), s["pos"].alias("pos")))).alias("out"))))
-    placed = folded.select("book", F.explode(state["out"]).alias("o")).select("book", "o.*")
-    return placed.join(ready.withColumn("file_pos", F.col("file_pos").cast("int")).withColumn("i", F.col("i").cast("int")), ["book", "file_pos", "i"]).select("book", "chunk", "pos", "file_pos", "f", "i", "t")
+    ready = chunkable(blocks).select("book", F.col("file_pos").cast("int").alias("file_pos"), F.col("file").alias("f"), F.col("i").cast("int").alias("i"), "t")
+    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lengths = ready.select("book", "file_pos", "i", F.length("t").alias("n")).repartition(tasks, "book").sortWithinPartitions("book", "file_pos", "i")
+    placed = lengths.mapInArrow(lambda batches: _packed(batches, max_chars), "book string, file_pos int, i int, chunk int, pos int")
+    return placed.join(ready, ["book", "file_pos", "i"]).select("book", "chunk", "pos", "file_pos", "f", "i", "t")
+
+
+def _packed(batches: Iterator[pa.RecordBatch], max_chars: int) -> Iterator[pa.RecordBatch]:
+    """Rows (book, file_pos, i, n) in order with the chunk and the place in it, one chunk after another."""
+    book, chunk, size, pos = None, 0, 0, 0
+    for batch in batches:
+        names, ends = batch.column(0).to_pylist(), np.cumsum(batch.column(3).to_numpy(), dtype=np.int64)
+        chunks, places = np.empty(len(names), np.int32), np.empty(len(names), np.int32)
+        turns = [k for k in range(len(names)) if k == 0 or names[k] != names[k - 1]] + [len(names)]
+        for at, until in zip(turns, turns[1:]):
+            if names[at] != book:
+                book, chunk, size, pos = names[at], 0, 0, 0
+            while at < until:
+                before = int(ends[at - 1]) if at else 0
+                # up to where the chunk is full; an empty one takes a paragraph of any length
+                stop = min(until, max(int(np.searchsorted(ends, before + max_chars - size, side="right")), at + (pos == 0)))
+                chunks[at:stop], places[at:stop] = chunk, np.arange(pos, pos + stop - at)
+                size, pos = size + int(ends[stop - 1] if stop else 0) - before, pos + stop - at
+                if stop < until:
+                    chunk, size, pos = chunk + 1, 0, 0
+                at = stop
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(chunks), pa.array(places)], names=["book", "file_pos", "i", "chunk", "pos"])
 
 
 def user_message(texts: Column, register: Column) -> Column:
@@ -54,10 +69,11 @@ def user_message(texts: Column, register: Column) -> Column:
     return F.concat(head, F.array_join(F.transform(texts, lambda t, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), t)), "\n\n"))
 
 
-def requests(packed: DataFrame, registers: DataFrame, model: str, first: int = 0) -> DataFrame:
+def requests(packed: DataFrame, registers: DataFrame, model: str, first: int = 0, per_batch: int = PER_BATCH) -> DataFrame:
     """One row per chunk: nth, cid, book, items, content, params (JSON) and batch; ``registers`` has book and register.
 
-    Numbers run over books and chunks in order. They come from a count per book, so only a book is numbered at once.
+    Numbers run over books and chunks in order, cids from ``first`` on. They come from a count per book, so what one
+    task numbers is a row of two values for each book.
     """
     told = packed.groupBy("book", "chunk").agg(F.array_sort(F.collect_list(F.struct("pos", "f", "i", "t"))).alias("x"))
     sizes = told.groupBy("book").count()
@@ -67,7 +83,7 @@ def requests(packed: DataFrame, registers: DataFrame, model: str, first: int = 0
     rows = told.join(before, "book").join(registers.select("book", "register"), "book", "left")
     return rows.select(
         nth.alias("nth"), F.format_string("c%07d", nth + first).alias("cid"), "book", F.transform("x", lambda p: F.struct(p["f"].alias("f"), p["i"].alias("i"))).alias("items"),
-        content.alias("content"), F.floor(nth / PER_BATCH).alias("batch")).withColumn("params", F.to_json(F.struct(
+        content.alias("content"), F.floor(nth / per_batch).alias("batch")).withColumn("params", F.to_json(F.struct(
             F.lit(model).alias("model"), F.lit(MAX_TOKENS).alias("max_tokens"), F.lit(PROMPT).alias("system"),
             F.array(F.struct(F.lit("user").alias("role"), F.col("content").alias("content"))).alias("messages"))))
 
@@ -109,29 +125,42 @@ def usage(results: DataFrame) -> DataFrame:
     return results.agg(zero("in").alias("tokens_in"), zero("out").alias("tokens_out"), F.count_if(F.col("error").isNotNull()).alias("errors"))
 
 
+#: JSON as Python reads it: strings stand between double quotes only.
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "true"}
+_STRIP = f"^[{C.members(C.WHITE)}]+|[{C.members(C.WHITE)}]+$"
+
+
 def parse_issues(text: Column) -> Column:
-    """The objects of ``issues`` between the first opening and the last closing brace; none if that is no JSON object."""
+    """The objects of ``issues``, as JSON each, between the first opening and the last closing brace; none if that is no JSON object."""
     start = F.instr(text, "{")
     end = F.length(text) - F.instr(F.reverse(text), "}") + 1
     body = F.when((start > 0) & (F.instr(text, "}") > 0) & (end > start), F.substr(text, start, end - start + 1))
     # item by item, so that one of another kind doesn't spoil the others
-    items = F.from_json(body, F.lit("issues array<string>"))["issues"]
-    objects = F.filter(F.coalesce(items, F.array().cast("array<string>")), lambda x: x.isNotNull() & x.startswith("{"))
-    return F.filter(F.transform(objects, lambda x: F.from_json(x, F.lit(ISSUE))), lambda x: x.isNotNull())
+    items = F.from_json(body, F.lit("issues array<string>"), _STRICT)["issues"]
+    return F.filter(F.coalesce(items, F.array().cast("array<string>")), lambda x: x.isNotNull() & x.startswith("{") & F.from_json(x, F.lit("map<string,string>"), _STRICT).isNotNull())
+
+
+def _number(x: Column, name: str) -> Column:
+    """A field that is a JSON number or true or false, as double; null if it is anything else."""
+    return F.coalesce(F.from_json(x, F.lit(f"{name} double"), _STRICT)[name], F.from_json(x, F.lit(f"{name} boolean"), _STRICT)[name].cast("double"))
 
 
 def verify(answers: DataFrame, items: DataFrame, min_conf: float = MIN_CONF) -> DataFrame:
     """Claims checked against the paragraphs: book, cid, p, ..., ok.
 
     ``answers`` has cid, book and text; ``items`` has cid, p (from 1), f, i and t. A claim holds if its paragraph has
-    the quoted text, literally or with Arabic letters taken for Persian ones; its span is cut from the paragraph.
+    the quoted text, literally or with Arabic letters taken for Persian ones; its span is cut from the paragraph. A
+    paragraph's number may be a number, of which the whole part counts, or a string of digits; a confidence that is
+    missing is 0.5, one that is null or no number drops the claim.
     """
-    claims = answers.select("cid", "book", F.posexplode(parse_issues(F.col("text"))).alias("k", "x"))
+    claims = answers.select("cid", "book", F.posexplode(parse_issues(F.col("text"))).alias("k", "x")).withColumn("m", F.from_json("x", F.lit("map<string,string>"), _STRICT))
+    text = lambda name, default: F.coalesce(F.col("m")[name], F.lit(default))
+    strip = lambda c: F.regexp_replace(c, F.lit(_STRIP), F.lit(""))
+    as_number, written = _number(F.col("x"), "p"), strip(F.col("m")["p"])
+    p = F.when(as_number.isNotNull(), F.when(~F.isnan(as_number) & (F.abs(as_number) < 1e9), as_number.cast("int"))).when(written.rlike("^[+-]?[0-9]{1,9}$"), written.try_cast("int"))
+    conf = F.when(~F.map_contains_key("m", "confidence"), F.lit(0.5)).otherwise(F.coalesce(_number(F.col("x"), "confidence"), strip(F.col("m")["confidence"]).try_cast("double")))
     claims = claims.select(
-        "cid", "book", "k", F.expr("try_cast(try_cast(x.p AS double) AS int)").alias("p"),
-        F.when(F.col("x.confidence").isNull(), F.lit(0.5)).otherwise(F.expr("try_cast(x.confidence AS double)")).alias("conf"),
-        F.trim(F.coalesce("x.original", F.lit(""))).alias("original"), F.trim(F.coalesce("x.suggestion", F.lit(""))).alias("sugg"),
-        F.coalesce("x.type", F.lit("grammar")).alias("type"), F.coalesce("x.note", F.lit("")).alias("note"))
+        "cid", "book", "k", p.alias("p"), conf.alias("conf"), strip(text("original", "")).alias("original"), strip(text("suggestion", "")).alias("sugg"), text("type", "grammar").alias("type"), text("note", "").alias("note"))
     looked = claims.join(items.select("cid", "p", "f", "i", "t"), ["cid", "p"], "left")
     alike = lambda c: T.swap(c, C.TO_PERSIAN_QUOTED)
     exact, near = F.expr("instr(t, original)"), F.instr(alike(F.col("t")), alike(F.col("original")))
@@ -157,21 +186,30 @@ def rebuild_issues(manifest: DataFrame, results: DataFrame, blocks: DataFrame, m
 
 
 def run_reviewer(rows: DataFrame, reviewer: Callable[[str], str], parallel: int = 4) -> DataFrame:
-    """cid, text, in, out, error: every request put to ``reviewer``; a failure is that request's alone."""
+    """cid, text, in, out, error: every request put to ``reviewer``, ``parallel`` at a time; a failure is that request's alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for cid, params in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                try:
-                    text = reviewer(params)
-                    out.append((cid, text, len(params) // 4, len(text) // 4, None))
-                except Exception as e:  # noqa: BLE001
-                    out.append((cid, None, None, None, f"{type(e).__name__}: {e}"))
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["cid", "text", "in", "out", "error"])
-
-    return rows.select("cid", "params").repartition(parallel, "cid").mapInArrow(run, "cid string, text string, in bigint, out bigint, error string")
+            yield answered(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), reviewer)
+
+    return rows.select("cid", "params").repartition(parallel, "cid").mapInArrow(run, ANSWER)
+
+
+ANSWER = "cid string, text string, in bigint, out bigint, error string"
+
+
+def answered(asked: Iterable[tuple[str, str]], reviewer: Callable[[str], str]) -> pa.RecordBatch:
+    """Answers (cid, text, in, out, error) to requests (cid, params)."""
+    out = []
+    for cid, params in asked:
+        try:
+            text = reviewer(params)
+            out.append((cid, text, len(params) // 4, len(text) // 4, None))
+        except Exception as e:  # noqa: BLE001
+            out.append((cid, None, None, None, f"{type(e).__name__}: {e}"))
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
+    columns = list(zip(*out)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["cid", "text", "in", "out", "error"])
 
 
 def offline_reviewer(params: str) -> str:

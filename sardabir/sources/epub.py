@@ -7,6 +7,7 @@ import posixpath
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from html.parser import HTMLParser
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
@@ -34,11 +35,38 @@ def _local(element: ElementTree.Element) -> str:
     return element.tag.rpartition("}")[2].lower()
 
 
+class _Tags(HTMLParser):
+    """The tags of damaged XML as a flat tree: attributes and the text that follows each."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.root = ElementTree.Element("damaged")
+        self.prefixes: dict[str, str] = {}
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.prefixes |= {k[6:]: v or "" for k, v in attrs if k.startswith("xmlns:")}
+        prefix, _, name = tag.rpartition(":")
+        ElementTree.SubElement(self.root, f"{{{self.prefixes.get(prefix, prefix)}}}{name}" if prefix else name, {k: v or "" for k, v in attrs})
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.handle_starttag(tag, attrs)
+
+    def handle_data(self, data: str) -> None:
+        if len(self.root):
+            self.root[-1].text = (self.root[-1].text or "") + data
+
+
 def _xml(data: bytes, what: str) -> ElementTree.Element:
+    """The tree of a container or package file; of a damaged one, its tags as far as they can be read."""
     try:
         return ElementTree.fromstring(data)
     except ElementTree.ParseError as e:
-        raise Unreadable(f"unreadable {what}: {e}") from e
+        reader = _Tags()
+        reader.feed(data.decode("utf-8", "replace"))
+        reader.close()
+        if not len(reader.root):
+            raise Unreadable(f"unreadable {what}: {e}") from e
+        return reader.root
 
 
 def open_book(content: bytes) -> tuple[Book, zipfile.ZipFile]:
