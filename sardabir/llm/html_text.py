@@ -14,6 +14,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,10 @@ from pyspark.sql import functions as F
 from .boosting import Trees, boost
 from .common import map_rows
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>|<[!?/][^>]*>|<[a-zA-Z/!?][^<>]*\Z", re.S)
+MARK = re.compile(r"<[a-zA-Z/!?]")
+#: A tag up to the first ``>`` outside quotes; nothing is tried twice.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+OPEN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 #: Their content is no text of the page.
 RAW = frozenset("script style noscript template svg math canvas iframe object head title textarea select option datalist video audio map".split())
@@ -48,6 +52,33 @@ IN_FAVOUR = frozenset("article content main post body entry story text page-cont
 PARTS = re.compile(r"[A-Za-z]+")
 
 
+def next_token(source: str, at: int) -> tuple[int, int, str, bool, str, bool] | None:
+    """Start and end of the next markup, and of a tag its name, whether it is an end tag, its attributes, and whether it closes itself.
+
+    Every character is looked at a bounded number of times, whatever the page says: a tag whose quotes never close ends
+    at its first ``>``, and where no ``>`` follows, the last tag begun is left out.
+    """
+    m = MARK.search(source, at)
+    if m is None:
+        return None
+    start = m.start()
+    if source.startswith("<!--", start):
+        end = source.find("-->", start + 4)
+        return start, end + 3 if end >= 0 else len(source), "", False, "", False
+    tag = TAG.match(source, start) or OPEN_TAG.match(source, start)
+    if tag:
+        attributes = tag[3]
+        closed = attributes.endswith("/")
+        return start, tag.end(), tag[2].lower(), bool(tag[1]), attributes[:-1] if closed else attributes, closed
+    end = source.find(">", start)
+    if end >= 0:
+        return start, end + 1, "", False, "", False
+    rest = source.find("<!--", start)
+    if rest < 0:
+        rest = source.rfind("<")
+    return (rest, len(source), "", False, "", False) if MARK.match(source, rest) else None
+
+
 def past_end(source: str, at: int, tag: str) -> int | None:
     """Where the page goes on after the end tag of an element of RAW whose content begins at ``at``; none if it never ends.
 
@@ -59,14 +90,11 @@ def past_end(source: str, at: int, tag: str) -> int | None:
         return None
     if tag in PLAIN:
         return source.find(">", first.end()) + 1 or len(source)
-    while m := TOKEN.search(source, at):
-        at = m.end()
-        if m[2] is None:
-            continue
-        inner = m[2].lower()
-        if m[1] and inner == tag:
+    while token := next_token(source, at):
+        _, at, inner, ends, _, closed = token
+        if ends and inner == tag:
             return at
-        if inner in PLAIN and not m[1] and not m[4]:
+        if inner in PLAIN and not ends and not closed:
             at = past_end(source, at, inner) or at
     return None
 
@@ -91,16 +119,29 @@ class Page:
 
     def _read(self, source: str) -> None:
         node, stack, at, linked, endless = 0, [0], 0, 0, set()
-        while m := TOKEN.search(source, at):
-            if m.start() > at:
-                self._text(node, source[at:m.start()], linked)
-            at = m.end()
-            tag = m[2]
-            if tag is None:
+        opened: Counter[str] = Counter()  # how many elements of a name are on the stack, so that none is sought in vain
+
+        def close(names: set[str], limit: set[str] = frozenset()) -> None:
+            if not any(opened[n] for n in names):
+                return
+            for k in range(len(stack) - 1, 0, -1):
+                name = self.tag[stack[k]]
+                if name in limit:
+                    return
+                if name in names:
+                    opened.subtract(self.tag[i] for i in stack[k:])
+                    del stack[k:]
+                    return
+
+        while token := next_token(source, at):
+            start, end, tag, ends, attributes, closed = token
+            if start > at:
+                self._text(node, source[at:start], linked)
+            at = end
+            if not tag:
                 continue
-            tag = tag.lower()
             if tag in RAW:
-                if not m[1] and not m[4]:
+                if not ends and not closed:
                     # an end tag that never comes would swallow the page; then only this tag is left out
                     end = None if tag in endless else past_end(source, at, tag)
                     if end is not None:
@@ -113,7 +154,7 @@ class Page:
                     self.inputs[node] += 1
                 continue
             if tag == "a":
-                linked = 0 if m[1] else 1
+                linked = 0 if ends else 1
                 self.marks[node] += 1
                 continue
             if tag not in GROUP_OF:
@@ -126,28 +167,17 @@ class Page:
                 continue
             if tag in ("html", "body"):
                 continue
-            if m[1]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] == tag:
-                        del stack[k:]
-                        break
+            if ends:
+                close({tag})
             else:
                 if tag in ENDS_P:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if self.tag[stack[k]] == "p":
-                            del stack[k:]
-                            break
+                    close({"p"})
                 if tag in SIBLINGS:
-                    ended, limit = SIBLINGS[tag]
-                    for k in range(len(stack) - 1, 0, -1):
-                        if self.tag[stack[k]] in limit:
-                            break
-                        if self.tag[stack[k]] in ended:
-                            del stack[k:]
-                            break
-                self._open(stack[-1], tag, m[3])
-                if not m[4]:
+                    close(*SIBLINGS[tag])
+                self._open(stack[-1], tag, attributes)
+                if not closed:
                     stack.append(len(self.tag) - 1)
+                    opened[tag] += 1
                 linked = 0
             node = stack[-1]
         if at < len(source):
@@ -161,10 +191,11 @@ class Page:
         if attributes and not attributes.isspace():
             for name, a, b, c in ATTRIBUTE.findall(attributes):
                 value = a or b or c
-                if name in "classidrole":
+                name = name.lower()
+                if name in ("class", "id", "role"):
                     tokens += " " + value
                 else:
-                    hidden |= name == "hidden" or "display:none" in value.replace(" ", "")
+                    hidden |= name == "hidden" or "display:none" in value.replace(" ", "").lower()
         self.tokens.append(tokens)
         self.hidden.append(hidden)
         for counts in (self.link, self.marks, self.breaks, self.inputs):

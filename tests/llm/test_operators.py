@@ -295,15 +295,6 @@ def test_gru_gradients():
         assert abs((values[0] - values[1]) / 2e-4 - g[name][at]) < 2e-3, name
 
 
-@pytest.mark.parametrize(("name", "label"), [("op1_quality_fm", "quality"), ("op10_toxicity_gru", "toxic")])
-def test_held_out_accuracy(spark, name, label):
-    folder = "/root/testdata/sf0.01"
-    rows = queries.QUERIES[name](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("held_out").collect()
-    for r in rows:
-        assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5)
-    assert np.mean([r["predicted"] == r[label] for r in rows]) >= 0.85
-
-
 def test_classifiers_on_odd_rows(spark):
     good, bad = "the quick fox. It ran and slept well", "x | y | z | w | v!!"
     model = quality.train([good, bad] * 30, [None, 5] * 30, np.array([1, 0] * 30))
