@@ -56,7 +56,8 @@ def decode(ids: np.ndarray, enc: tiktoken.Encoding) -> bytes:
 def tokenize(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, n_tokens, ids (binary, little-endian unsigned 32-bit) and whole (they decode to the text) of every row.
 
-    Null text: no tokens. Other columns are not read.
+    Null or empty text: no tokens. Null id: stays null. Equal texts: equal results. Empty table: no rows. Other columns are
+    not read.
     """
 
     def run(batch: pa.RecordBatch) -> dict:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir
+from .common import ensure_checkpoint_dir, hinted
 
 SHINGLE_WORDS = 5
 CONTAINMENT = 0.8
@@ -93,8 +93,12 @@ def _contained(texts: DataFrame, wanted: DataFrame, length: int, share: int) ->
     return verified.join(hint(holders), "key").select("doc", "item", F.col("n_item").cast("bigint").alias("n_item"), "n_found")
 
 
-def clean(docs: DataFrame, items: DataFrame, threshold: float = CONTAINMENT, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that contain no item, with all their columns; rows with a null id are kept."""
-    bad = contaminated(docs, items, threshold, id_col).select(F.col(id_col).alias("__bad_id")).distinct().checkpoint()
-    bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
-    return docs.join(bad, docs[id_col].cast("bigint") == bad["__bad_id"], "left_anti")
+def clean(docs: DataFrame, items: DataFrame, threshold: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that contain no item, with all their columns.
+
+    Rows that repeat an id are judged by the text of each, told apart by a 64-bit hash of both. Rows with a null id, a
+    null or an empty text are kept. Empty tables: all rows, or none.
+    """
+    key = F.when(docs[id_col].isNotNull(), F.xxhash64(docs[id_col].cast("bigint"), docs[text_col]))
+    bad = contaminated(docs.select(key.alias("__key"), docs[text_col].alias("text")), items, threshold, "__key").select("__key").distinct().checkpoint()
+    return docs.join(hinted(bad, bad.count()), key == bad["__key"], "left_anti")

@@ -20,6 +20,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import cut
+
 ROUNDS = 8
 #: What numbers, assignments and secrets need; a text without any of these can hold none of them.
 MARKS = re.compile(r"[\d=:]")
@@ -79,9 +81,12 @@ def find_entities(text: str) -> list[tuple[int, int, str]]:
             found += [(*m.span(), kind) for m in pattern.finditer(text)]
     if any(title in text for title in (*TITLES, *DEGREES)):
         found += [(start, end, "name") for start, end, _ in find_names(text)]
-    kept: list[tuple[int, int, str]] = []
+    if len(found) < 2:
+        return found
+    kept, taken = [], bytearray(len(text))
     for start, end, kind in sorted(set(found), key=lambda f: (KINDS.index(f[2]), f[0])):
-        if all(end <= s or e <= start for s, e, _ in kept):
+        if not any(taken[start:end]):
+            taken[start:end] = b"\1" * (end - start)
             kept.append((start, end, kind))
     return sorted(kept)
 
@@ -296,13 +301,13 @@ def replace_pii(docs: DataFrame, key: bytes, text_col: str = "text", length_col:
     """``docs`` with surrogates in ``text_col``; all rows and columns stay, in place.
 
     ``length_col`` is brought up to date where the text changed, if there is such a column. Null texts stay null,
-    whatever other columns hold. Every text is worked through whole. Empty table: no rows.
+    whatever other columns hold. Every text is worked through whole. Equal texts: equal results. Empty table: no rows.
     """
     names = docs.columns
     at, count = names.index(text_col), names.index(length_col) if length_col in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in cut(batches):
             old = batch.column(at).to_pylist()
             new = [t if t is None else pseudonymize(t, key)[0] for t in old]
             columns = list(batch.columns)
@@ -316,10 +321,14 @@ def replace_pii(docs: DataFrame, key: bytes, text_col: str = "text", length_col:
 
 
 def describe_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``id_col``, text with surrogates, n_entities, and the entities' kinds, starts and ends in the original."""
+    """Per row: ``id_col``, text with surrogates, n_entities, and the entities' kinds, starts and ends in the original.
+
+    Null text: stays null, no entities. Null id: stays null. Equal texts: equal results. Empty table: no rows. Other columns
+    are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in cut(batches):
             got = [(None, []) if t is None else pseudonymize(t, key) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([t for t, _ in got], pa.string()), pa.array([len(e) for _, e in got], pa.int64()),

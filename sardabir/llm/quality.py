@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, slices
+from .common import cut, map_rows, slices
 from .labelled import sample
 from .shingles import word_hashes
 
@@ -164,7 +164,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qualit
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """``id_col`` and score of every row. Null text: as empty. Null length: unknown. Empty table: no rows."""
+    """``id_col`` and score of every row. Null text: as empty. Null length: unknown. Null id: stays null. Equal texts of equal
+    length: equal scores but for rounding. Texts of any length are read whole. Empty table: no rows. Other columns are not read."""
 
     def run(batch: pa.RecordBatch) -> dict:
         return {id_col: batch.column(0), "score": model.scores([t or "" for t in batch.column(1).to_pylist()], batch.column(2).to_pylist())}
@@ -173,11 +174,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """The rows of ``docs`` that score at least 0.5, with all their columns, in one pass without a shuffle."""
+    """The rows of ``docs`` that score at least 0.5, with all their columns, in one pass without a shuffle.
+
+    A row is judged by its own text and length alone: equal rows go or stay together, null ids don't matter, null text
+    counts as empty, null length as unknown. Empty table: no rows.
+    """
     at, n = docs.columns.index(text_col), docs.columns.index(length_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in cut(batches):
             good = model.scores([t or "" for t in batch.column(at).to_pylist()], batch.column(n).to_pylist()) >= 0.5
             yield batch.filter(pa.array(good))
 

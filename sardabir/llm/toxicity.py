@@ -316,7 +316,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic"
 
 
 def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and score of every row. Null or empty text, or one without letters: a low constant. Empty table: no rows."""
+    """``id_col`` and score of every row. Null or empty text, or one without letters: a low constant. Null id: stays null.
+    Equal texts: equal scores but for rounding. Texts of any length are read whole. Empty table: no rows. Other columns are not read."""
 
     def run(batch: pa.RecordBatch) -> dict:
         return {id_col: batch.column(0), "score": network.scores([t or "" for t in batch.column(1).to_pylist()])}

@@ -83,7 +83,11 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """``id_col``, hashes and positions (arrays of long) of every row's prints, in order of position. Null text: none."""
+    """``id_col``, hashes and positions (arrays of long) of every row's prints, in order of position.
+
+    Null or empty text: none. Null id: stays null. Equal texts: equal prints. Texts of any length are read whole. Empty table:
+    no rows. Other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
