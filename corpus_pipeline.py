@@ -2,7 +2,12 @@
 
 Each stage is a function of (spark, docs, sf_dir) and works on whatever its predecessor kept. All but the last return
 the columns of ``documents``. Between stages, rows are written as Parquet and read again, so a lost executor costs a
-stage at most.
+stage at most; a stage's table is emptied once the next one is written.
+
+What each stage does with odd rows: a null text counts as empty, and no stage but the first, which judges the text, drops
+a row without words. Rows without an id are judged by their text and otherwise stay. Rows that repeat an id are judged
+by the text of each; of rows that repeat id and text, near_dedup keeps one. Extra columns pass through, whatever their
+names. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -17,7 +22,6 @@ from sardabir.llm.common import shared_dir, table
 from sardabir.llm.labelled import fold
 from sardabir.llm.queries import PII_KEY
 
-
 #: Least similarity of near-duplicates in this pipeline, in percent of five-word shingles; op6 alone takes 85.
 NEAR_PERCENT = 80
 
@@ -55,9 +59,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after another, over ``documents``."""
-    place = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    place, before = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}_{name}")
-        docs = spark.read.parquet(f"{place}/{k}_{name}")
+        written = f"{place}/{k}_{name}"
+        stage(spark, docs, sf_dir).write.parquet(written)
+        if before:
+            spark.createDataFrame([], docs.schema).write.mode("overwrite").parquet(before)
+        docs, before = spark.read.parquet(written), written
     return docs
