@@ -441,10 +441,17 @@ def _(spark, d):
     return lists.plan_scan(now, before)
 
 
-@query("select_books", f"SELECT page_id FROM pages WHERE page_id % 7 <> 0 AND regexp_matches({_REL}, '/(2[0-9]|[0-9])(\\.html)?$') AND string_split({_REL}, '/')[-1] IN ('21', '25.html', '8', '3.html')")
+# by id, by path and by file name; of these the first by path
+_ONLY = "id IN (SELECT substr(sha1(rel), 1, 12) FROM files WHERE page_id IN (2, 7, 9)) OR rel IN (SELECT rel FROM files WHERE page_id IN (4, 5)) OR name IN (SELECT name FROM files WHERE page_id IN (3, 8, 13))"
+
+
+@query("select_books", f"""WITH files AS (SELECT page_id, {_REL} AS rel, substr(sha1({_REL}), 1, 12) AS id, string_split({_REL}, '/')[-1] AS name FROM pages)
+        SELECT page_id FROM files WHERE page_id % 7 <> 0 AND ({_ONLY}) ORDER BY rel LIMIT 5""")
 def _(spark, d):
     books = _files(spark, d).select("page_id", "rel", lists.book_id(F.col("rel")).alias("id"), F.when(F.col("page_id") % 7 == 0, "x").alias("error"))
-    return lists.select_books(books, only=["21", "25.html", "8", "3.html"]).select("page_id")
+    named = books.where("page_id IN (2, 3, 4, 5, 7, 8, 9, 13)").select("page_id", "rel", "id").collect()
+    only = [r["id"] if r["page_id"] in (2, 7, 9) else r["rel"] if r["page_id"] in (4, 5) else r["rel"].rpartition("/")[2] for r in named]
+    return lists.select_books(books, only=only, limit=5).select("page_id")
 
 
 @query("load_wordlist", f"""WITH lines AS (SELECT item_id AS line_no, CASE item_id % 4 WHEN 0 THEN left(x, 9) || '/AB' WHEN 1 THEN '# ' || x WHEN 2 THEN left(x, 7) || chr(9) || 'y' ELSE ' ' END AS line FROM (SELECT item_id, {S._sql_text()} AS x FROM benchmark)),
@@ -762,14 +769,28 @@ def _(spark, d):
     return spark.createDataFrame([("index.html", report.index_page(density(spark, d), unreadable))], "name string, html string")
 
 
-_BATCHES = f"""WITH {_RESULTS},
-        rows AS (SELECT 'c' || user_id AS cid, user_id // 50 AS batch FROM (SELECT DISTINCT user_id FROM events)),
-        best AS (SELECT cid, max(CASE WHEN error IS NULL THEN 1 ELSE 0 END) AS fine FROM results WHERE line % 3 = 0 GROUP BY cid)
+#: Requests that were asked for in batches of 50; of some, no answer came at all.
+_ASKED = "SELECT 'c' || n AS cid, n // 50 AS batch FROM range(0, (SELECT max(user_id) + 100 FROM events)) AS t(n)"
+
+
+@query("batch_status", f"""WITH {_RESULTS}, rows AS ({_ASKED}),
+        best AS (SELECT cid, max(CASE WHEN error IS NULL THEN 1 ELSE 0 END) AS fine FROM results GROUP BY cid)
         SELECT batch, count(*) AS n, min(cid) AS first_cid, max(cid) AS last_cid, count(*) FILTER (fine = 1) AS answered, count(*) FILTER (fine = 0) AS failed, count(*) FILTER (fine IS NULL) AS open, count(*) FILTER (fine IS NULL) = 0 AS collected
-        FROM rows LEFT JOIN best USING (cid) GROUP BY batch"""
+        FROM rows LEFT JOIN best USING (cid) GROUP BY batch""")
+def _(spark, d):
+    asked = spark.range(table(spark, d, "events").agg(F.max("user_id")).first()[0] + 100)
+    rows = asked.select(F.concat(F.lit("c"), "id").alias("cid"), F.floor(F.col("id") / 50).alias("batch"))
+    return review.batch_status(review.batches(rows), results(spark, d), rows)
 
 
-@query("llm_batches", _BATCHES)
+# handed over, asked after and fetched, by a client without a network
+@query("llm_batches", f"""{_MESSAGES} SELECT 'batch-c' || lpad(CAST(min(nth) AS VARCHAR), 7, '0') AS id, count(*) AS n, 'any' AS model, true AS collected, 'ended' AS state, count(*) AS ok, CAST(0 AS BIGINT) AS failed FROM requests GROUP BY nth // 50""")
 def _(spark, d):
-    rows = table(spark, d, "events").select(F.concat(F.lit("c"), "user_id").alias("cid"), F.floor(F.col("user_id") / 50).alias("batch")).distinct()
-    return review.batch_status(review.batches(rows), results(spark, d).where("line % 3 = 0"), rows)
+    from ..operators import reviewers
+    from ..sources import store
+
+    folder = store.scratch(spark, "llm_batches")
+    client = reviewers.OfflineClient(f"{folder}/offline")
+    reviewers.submit(requests(spark, d, per_batch=50), folder, client, "any", 0)
+    reviewers.collect(spark, folder, client)
+    return reviewers.status(spark, folder, client).select("id", "n", "model", "collected", "state", "ok", "failed")
