@@ -106,11 +106,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
-def range_splits(df: DataFrame, col: str, rows_per_range: int = 20_000, most: int = 16_384) -> np.ndarray:
-    """Split points of a bigint column by approximate quantiles, so that ranges hold about equally many rows."""
+#: Rows of an id that fills whole ranges are dealt further, by the leading bits of a hash of theirs, into so many parts.
+TIES = 16
+
+
+def range_splits(df: DataFrame, col: str, rows_per_range: int = 20_000, most: int = 16_384) -> tuple[np.ndarray, np.ndarray]:
+    """Split points of a bigint column by approximate quantiles, so that ranges hold about equally many rows; and hot values.
+
+    A value that several quantiles fall on is hot, and has a range of its own.
+    """
     total = df.count()
     n = int(min(most, max(1, total // rows_per_range)))
     if n < 2:
-        return np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     points = df.select(F.percentile_approx(col, [i / n for i in range(1, n)], 10 * n).alias("p")).first()["p"] or []
-    return np.array(sorted(set(points)), dtype=np.int64)
+    hot = {a for a, b in zip(points, points[1:]) if a == b}
+    return np.array(sorted({*points, *(x + 1 for x in hot if x < (1 << 63) - 1)}), dtype=np.int64), np.array(sorted(hot), dtype=np.int64)
+
+
+def range_of(keys: np.ndarray, ties: np.ndarray, splits: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The range of each key, in order of (key, tie); ``ties`` are unsigned 32-bit hashes, which tell only where a key is hot."""
+    return np.searchsorted(splits, keys, side="right") * TIES + np.where(np.isin(keys, hot), ties >> 28, 0)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .common import range_splits
+from .common import TIES, range_of, range_splits
 
 MULTIPLIER = np.uint64(2862933555777941757)
 
@@ -38,8 +38,9 @@ def assign_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col
 
     Returns ``id_col``, size (UTF-8 bytes plus 1), text_crc32, law, shard, slot and grown_shard (with one more shard).
 
-    Slots of a shard follow the ids. They are counted in two steps: rows are dealt into ranges of ids, the counts of
-    (range, shard) are summed up to offsets, and only a range is numbered by a window. So no task sees a whole shard.
+    Slots of a shard follow the ids, and the texts' checksums among equal ones. They are counted in two steps: rows are
+    dealt into ranges of ids, the counts of (range, shard) are summed up to offsets, and only a range is numbered by a
+    window. An id that fills whole ranges, or none at all, is dealt further by checksums. So no task sees a whole shard.
 
     Null text: as an empty one. Null id: hashed as key 0, numbered before the others. Repeated rows: the same shard,
     slots of their own. Empty table: no rows. Other columns of the input are not read and so cannot clash.
@@ -49,16 +50,17 @@ def assign_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col
         (F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) + F.lit(1)).cast("bigint").alias("size"),
         F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
     )
-    splits = range_splits(rows, "id")
+    splits, hot = range_splits(rows, "id")
 
     @F.pandas_udf(StructType([StructField("shard", IntegerType()), StructField("grown_shard", IntegerType()), StructField("stretch", IntegerType())]))
-    def place(key: pd.Series) -> pd.DataFrame:
+    def place(key: pd.Series, tie: pd.Series) -> pd.DataFrame:
         ids = key.to_numpy()
-        return pd.DataFrame({"shard": jump_hash(ids, shards), "grown_shard": jump_hash(ids, shards + 1), "stretch": np.searchsorted(splits, ids, side="right").astype(np.int32)})
+        return pd.DataFrame({"shard": jump_hash(ids, shards), "grown_shard": jump_hash(ids, shards + 1), "stretch": range_of(ids, tie.to_numpy(), splits, hot).astype(np.int32)})
 
-    placed = rows.withColumn("at", place(F.coalesce("id", F.lit(0)))).select(
-        "id", "size", "text_crc32", "at.shard", "at.grown_shard", F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.col("at.stretch")).alias("stretch"))
-    # at most shards * (ranges + 1) rows, by the bound of range_splits: this may be broadcast and numbered by a window
+    without = (F.shiftright("text_crc32", 28) - TIES).cast("int")
+    placed = rows.withColumn("at", place(F.coalesce("id", F.lit(0)), "text_crc32")).select(
+        "id", "size", "text_crc32", "at.shard", "at.grown_shard", F.when(F.col("id").isNull(), without).otherwise(F.col("at.stretch")).alias("stretch"))
+    # by the bound of range_splits, at most shards * (16,384 ranges + TIES parts of half as many): this may be broadcast and numbered by a window
     counts = placed.groupBy("shard", "stretch").count()
     offsets = counts.select("shard", "stretch", F.coalesce(F.sum("count").over(Window.partitionBy("shard").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
     order = Window.partitionBy("shard", "stretch").orderBy("id", "text_crc32", "size")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import range_splits, slices
+from .common import TIES, range_of, range_splits, slices
 
 #: Code points of a gram, grams of a window: any passage of GRAM + WINDOW - 1 = 39 code points that two texts share
 #: gives both a print of the same hash.
@@ -112,31 +112,34 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least id of every range, so ranges are independent tasks.
 
     A fingerprint is written as the hex digits of its distinct hashes in order, eight for each. Likeness: Jaccard of
-    distinct hashes. Null text: empty. Null ids come last; equal ids by text. A single row follows itself. Empty table:
-    no rows.
+    distinct hashes. Null text: empty. Null ids come last; equal ids follow the texts' checksums, then the texts. An id
+    that fills whole ranges, or none at all, is dealt further by checksums. A single row follows itself. Empty table: no
+    rows. Texts of any length are read whole.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    splits = range_splits(rows, "id", RANGE_ROWS)
+    splits, hot = range_splits(rows, "id", RANGE_ROWS)
     n = len(splits) + 1
     parts = min(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     @F.pandas_udf("int")
-    def stretch(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(splits, key.to_numpy(), side="right").astype(np.int32))
+    def stretch(key: pd.Series, tie: pd.Series) -> pd.Series:
+        return pd.Series(range_of(key.to_numpy(), tie.to_numpy(), splits, hot).astype(np.int32))
 
     late = F.col("id").isNull()
-    at = F.when(late, F.lit(n)).otherwise(stretch(F.coalesce("id", F.lit(0))))
-    placed = rows.withColumn("stretch", at)
-    # one row for each range, of which there are at most 16,385
-    heads = {r["stretch"]: r["id"] for r in rows.select("id").withColumn("stretch", at).groupBy("stretch").agg(F.min("id").alias("id")).collect()}
+    tied = rows.withColumn("tie", F.crc32(F.col("text").cast("binary")))
+    at = F.when(late, (F.lit(n * TIES) + F.shiftright("tie", 28)).cast("int")).otherwise(stretch(F.coalesce("id", F.lit(0)), F.col("tie")))
+    placed = tied.withColumn("stretch", at)
+    # one row for each range, by the bound of range_splits 16,384 and at most TIES parts of half as many
+    heads = {r["stretch"]: r["head"] for r in tied.withColumn("stretch", at).groupBy("stretch").agg(F.min(F.struct(F.coalesce("id", F.lit(0)).alias("id"), "tie")).alias("head")).collect()}
     order = sorted(heads)
     before = {k: order[i - 1] for i, k in enumerate(order)}
     spark = docs.sparkSession
-    links = spark.createDataFrame([(heads[k], k, before[k]) for k in order], "id long, stretch int, before int")
+    links = spark.createDataFrame([(heads[k]["id"], heads[k]["tie"], k, before[k]) for k in order], "head_id long, head_tie long, at int, before int")
     # the copies: of each range's first row, for the range before; sorted behind all of that
-    first = placed.join(F.broadcast(links), (placed["id"].eqNullSafe(links["id"])) & (placed["stretch"] == links["stretch"]), "inner").groupBy(links["before"]).agg(F.min(placed["text"]).alias("text"))
-    ghosts = first.select(F.lit(None).cast("bigint").alias("id"), "text", F.col("before").alias("stretch"), F.lit(True).alias("ghost"))
-    dealt = placed.withColumn("ghost", F.lit(False)).unionByName(ghosts).repartition(parts, "stretch").sortWithinPartitions("stretch", "ghost", F.col("id").isNull(), "id", "text")
+    starts = (placed["stretch"] == links["at"]) & (F.coalesce(placed["id"], F.lit(0)) == links["head_id"]) & (placed["tie"] == links["head_tie"])
+    first = placed.join(F.broadcast(links), starts).groupBy("before").agg(F.min("text").alias("text"))
+    ghosts = first.select(F.lit(None).cast("bigint").alias("id"), "text", F.lit(0).cast("bigint").alias("tie"), F.col("before").alias("stretch"), F.lit(True).alias("ghost"))
+    dealt = placed.withColumn("ghost", F.lit(False)).unionByName(ghosts).repartition(parts, "stretch").sortWithinPartitions("stretch", "ghost", F.col("id").isNull(), "id", "tie", "text")
 
     def hexed(hashes: np.ndarray) -> str:
         return hashes.astype(">u4").tobytes().hex()

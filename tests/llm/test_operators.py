@@ -252,7 +252,7 @@ def test_winnowing_equals_brute_force(monkeypatch):
 
 def test_neighbours(spark):
     docs = [(r["doc_id"], r["text"] or "") for r in odd(spark).collect()]
-    docs.sort(key=lambda d: (d[0] is None, d[0] or 0, d[1]))
+    docs.sort(key=lambda d: (d[0] is None, d[0] or 0, zlib.crc32(d[1].encode()), d[1]))
     got = sorted(((r["doc_id"] is None, r["doc_id"] or 0), r) for r in winnowing.compare_neighbours(odd(spark)).collect())
     want = [(key, len(text), hashlib.sha256(winnowing.edited(text, docs[(k + 1) % len(docs)][1]).encode()).hexdigest()) for k, (key, text) in enumerate(docs)]
     assert sorted(map(repr, want)) == sorted(repr((r["doc_id"], r["n_chars"], r["edited_sha256"])) for _, r in got)
@@ -263,6 +263,29 @@ def test_neighbours(spark):
     assert alone["near_next"] == 1.0
 
 
+def test_neighbours_and_shards_of_a_hot_id(spark, monkeypatch):
+    from sardabir.llm import common
+
+    rng = random.Random(5)
+    rows = [(k if k % 3 else None if k % 2 else 77, " ".join(rng.choice("abcdefg") * 3 for _ in range(12))) for k in range(300)]
+    rows += rows[:9]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    real = common.range_splits
+    for module in (winnowing, sharding):
+        monkeypatch.setattr(module, "range_splits", lambda df, col, n=20: real(df, col, 20))
+    splits, hot = real(df.withColumnRenamed("doc_id", "id"), "id", 20)
+    assert hot.tolist() == [77]
+    docs = sorted(rows, key=lambda d: (d[0] is None, d[0] or 0, zlib.crc32(d[1].encode()), d[1]))
+    want = [(key, len(text), hashlib.sha256(winnowing.edited(text, docs[(k + 1) % len(docs)][1]).encode()).hexdigest()) for k, (key, text) in enumerate(docs)]
+    got = [(r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in winnowing.compare_neighbours(df).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    told = sharding.assign_shards(df, 3).collect()
+    order = lambda k, crc: (k is not None, k or 0, crc)
+    for s in range(3):
+        mine = sorted((r["slot"], order(r["doc_id"], r["text_crc32"])) for r in told if r["shard"] == s)
+        assert [x for x, _ in mine] == list(range(len(mine))) and [y for _, y in mine] == sorted(y for _, y in mine)
+
+
 # ---- 1 and 10: classifiers
 
 
