@@ -193,7 +193,7 @@ KEY = b"k" * 16
 
 
 def test_surrogates_keep_type_form_and_identity():
-    text = 'a.B.7@mail3.example.com A.b.7@MAIL3.EXAMPLE.COM +1 (136) 555-7479 1-136-555-7479 97.51.17.173 9807915762804490 4111 1111 1111 1111 token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce" Mr. John Smith Mrs Jane Doe 123-45-6789 DE89370400440532013000 version 3. 2024-01-02 ۰۹۱۲-1'
+    text = 'a.B.7@mail3.example.com A.b.7@MAIL3.EXAMPLE.COM +1 (136) 555-7479 1-136-555-7479 97.51.17.173 4736962573099581 4111 1111 1111 1111 token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce" Mr. John Smith Mrs Jane Doe 123-45-6789 DE89370400440532013000 version 3. 2024-01-02 ۰۹۱۲-1'
     new, found = pii.pseudonymize(text, KEY)
     assert sorted({k for _, _, k in found}) == sorted(pii.KINDS) and len(new) > 0
     assert pii.pseudonymize(text, KEY)[0] == new and pii.pseudonymize(text, b"other")[0] != new
@@ -203,7 +203,7 @@ def test_surrogates_keep_type_form_and_identity():
     assert emails[0].lower() == emails[1].lower()
     phones = re.findall(r"(?:\+1 |1-)\(?\d{3}\)?[ -]\d{3}-\d{4}", new)
     assert len(phones) == 2
-    card = [int(d) for d in re.findall(r"\d{4} \d{4} \d{4} \d{4}", new)[0].replace(" ", "")]
+    card = [int(d) for d in re.findall(r"(?<!\d)\d{4} \d{4} \d{4} \d{4}", new)[0].replace(" ", "")]
     assert pii._luhn(card) == 0
     for clean in ("nothing to see. Version 4.0.", "CC BY-NC 4.0.", "", "10:30 = 5"):
         assert pii.pseudonymize(clean, KEY) == (clean, [])
