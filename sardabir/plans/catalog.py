@@ -365,16 +365,33 @@ def _(spark, d):
 
 
 @query("report_summary", f"""{_DENSITY}, safe AS (SELECT book, count(*) AS n FROM findings WHERE severity = 'safe' GROUP BY book)
-        SELECT book, words, grammar, spelling, typography AS typography_review, style, coalesce(n, 0) AS auto_fixed, round(density, 2) AS issues_per_1000_words FROM density LEFT JOIN safe USING (book)""")
+        SELECT 'T-' || book AS book, book AS file, words, grammar, spelling, typography AS typography_review, style, coalesce(n, 0) AS auto_fixed, round(density, 2) AS issues_per_1000_words, '' AS error FROM density LEFT JOIN safe USING (book)
+        UNION ALL SELECT '', 'bad.epub', NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'no zip'""")
 def _(spark, d):
-    safe = I.safe_counts(findings(spark, d)).groupBy("book").agg(F.sum("n").alias("n"))
-    return density(spark, d).join(safe, "book", "left").select(
-        "book", "words", "grammar", "spelling", F.col("typography").alias("typography_review"), "style", F.coalesce("n", F.lit(0)).alias("auto_fixed"), F.round("density", 2).alias("issues_per_1000_words"))
+    from ..operators import report
+
+    fine = _books(spark, d).select(F.col("book").alias("id"), F.col("book").alias("rel"), F.concat(F.lit("T-"), "book").alias("title"), F.lit(None).cast("string").alias("error"))
+    every = fine.unionByName(spark.sql("SELECT 'bad' AS id, 'bad.epub' AS rel, CAST(NULL AS string) AS title, 'no zip' AS error"))
+    return report.summary(every, density(spark, d), I.safe_counts(findings(spark, d)))
 
 
-@query("report_all_issues", f"""WITH {S.DEDUP} SELECT book, f AS file, i AS paragraph, category, rule, source, conf AS confidence FROM deduped WHERE severity <> 'safe'""")
+# what the rules leave to a reviewer, in full
+@query("report_all_issues", f"""WITH {_FOUND}
+        SELECT 'T-' || book AS book, file, i AS paragraph, category, rule, 'rules' AS source, orig AS original, sugg AS suggestion, CAST(NULL AS DOUBLE) AS confidence, msg_fa AS message,
+               substr(t, greatest(0, off - 50) + 1, off - greatest(0, off - 50)) || '⟦' || substr(t, off + 1, len) || '⟧' || substr(t, off + len + 1, 50) AS context
+        FROM found JOIN (SELECT book, file, i, t FROM gated) USING (book, file, i) WHERE severity <> 'safe'""")
 def _(spark, d):
-    return I.for_review(deduped(spark, d)).select("book", F.col("f").alias("file"), F.col("i").alias("paragraph"), "category", "rule", "source", F.col("conf").alias("confidence"))
+    from ..operators import report
+
+    lines = B(spark, d)
+    titles = lines.select("book").distinct().withColumn("title", F.concat(F.lit("T-"), "book"))
+    return report.all_issues(_left_to_review(lines), lines, titles)
+
+
+def _left_to_review(lines):
+    found = typography.messages(typography.find_issues(lines.withColumnRenamed("file", "f"))).withColumn("source", F.lit("rules")).withColumn("conf", F.lit(None).cast("double"))
+    spines = lines.groupBy("book").agg(F.transform(F.array_sort(F.collect_set(F.struct("file_pos", "file"))), lambda x: x["file"]).alias("spine"))
+    return I.review_order(I.for_review(found).withColumn("seq", typography.priority(F.col("rule"))), spines)
 
 
 @query("issue_context", f"""WITH {S.BLOCKS}, {S.FINDINGS}
@@ -693,11 +710,12 @@ def epub_files(spark, d):
                     put = lambda name, text, how=zipfile.ZIP_DEFLATED: z.writestr(zipfile.ZipInfo(name, (2020, 1, 1, 0, 0, 0)), text, how)
                     put("mimetype", "application/epub+zip", zipfile.ZIP_STORED)
                     put("META-INF/container.xml", '<container><rootfiles><rootfile full-path="OPS/book.opf"/></rootfiles></container>')
-                    items = "".join(f'<item id="d{k}" href="Text/{k}.xhtml" media-type="application/xhtml+xml"/>' for k in range(len(docs)))
-                    spine = "".join(f'<itemref idref="d{k}"/>' for k in reversed(range(len(docs))))
+                    # names with spaces, a picture and a missing item in the spine, and a document that is there twice
+                    items = "".join(f'<item id="d{k}" href="Text/{k}%20a.xhtml#top" media-type="application/xhtml+xml"/>' for k in range(len(docs))) + '<item id="cover" href="cover.png" media-type="image/png"/>'
+                    spine = '<itemref idref="cover"/>' + "".join(f'<itemref idref="d{k}"/>' for k in reversed(range(len(docs)))) + '<itemref idref="none"/><itemref idref="d0"/>'
                     put("OPS/book.opf", f'<package xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata><dc:title> Book {n} </dc:title></metadata><manifest>{items}</manifest><spine>{spine}</spine></package>')
                     for k, doc in enumerate(docs):
-                        put(f"OPS/Text/{k}.xhtml", doc)
+                        put(f"OPS/Text/{k} a.XHTML", doc)
                 data = out.getvalue() if n % 11 else b"broken"
                 yield pa.RecordBatch.from_arrays([pa.array([f"shelf/{n}.epub"]), pa.array([len(data)]), pa.array([n]), pa.array([data], pa.binary())], names=["rel", "size", "mtime", "content"])
 
@@ -706,6 +724,15 @@ def epub_files(spark, d):
     return grouped.mapInArrow(make, "rel string, size bigint, mtime bigint, content binary")
 
 
+@query("src_find_files", "SELECT DISTINCT 'shelf/' || page_id // 5 || '.epub' AS rel, true AS sized FROM pages")
+def _(spark, d):
+    from ..sources import epub, store
+
+    place = store.scratch(spark, "src_find_files")
+    store.write_files(epub_files(spark, d).unionByName(spark.sql("SELECT 'other.txt' AS rel, 1L AS size, 0L AS mtime, CAST('x' AS binary) AS content")), place, "rel", "content")
+    return epub.find_files(spark, place).select("rel", (F.col("size") > 0).alias("sized"))
+
+
 def _opened(spark, d):
     from ..sources import epub
 
@@ -717,7 +744,7 @@ def _(spark, d):
     return _opened(spark, d).select("rel", "mtime", "title", F.col("error").isNotNull().alias("broken"))
 
 
-@query("src_spine_order", """SELECT 'shelf/' || n || '.epub' AS rel, CAST(k - 1 - j AS INTEGER) AS file_pos, 'OPS/Text/' || j || '.xhtml' AS file
+@query("src_spine_order", """SELECT 'shelf/' || n || '.epub' AS rel, CAST(k - 1 - j AS INTEGER) AS file_pos, 'OPS/Text/' || j || ' a.XHTML' AS file
         FROM (SELECT n, k, unnest(range(k)) AS j FROM (SELECT page_id // 5 AS n, count(*) AS k FROM pages GROUP BY 1)) WHERE n % 11 <> 0""")
 def _(spark, d):
     return _opened(spark, d).where("error IS NULL").select("rel", F.posexplode("spine").alias("file_pos", "file"))
@@ -741,11 +768,10 @@ def _(spark, d):
     from ..operators import report
 
     lines = B(spark, d)
-    hits = typography.find_issues(lines).withColumnRenamed("file", "f").withColumn("source", F.lit("rules"))
-    review_rows = I.for_review(hits).withColumn("seq", F.col("off"))
-    spines = lines.select("book", "file").distinct().groupBy("book").agg(F.array_sort(F.collect_list("file")).alias("spine"))
+    hits = typography.messages(typography.find_issues(lines.withColumnRenamed("file", "f")))
+    review_rows = _left_to_review(lines)
     told = I.book_density(words.book_words(lines), I.category_counts(review_rows))
-    return report.book_pages(told, I.review_order(review_rows, spines), I.safe_examples(hits), I.safe_counts(hits), lines)
+    return report.book_pages(told, review_rows, I.safe_examples(hits), I.safe_counts(hits), lines)
 
 
 # ---- sinks and the life of batches ----------------------------------------------------------------------------
