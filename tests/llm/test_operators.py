@@ -256,6 +256,15 @@ def test_neighbours(spark):
     got = sorted(((r["doc_id"] is None, r["doc_id"] or 0), r) for r in winnowing.compare_neighbours(odd(spark)).collect())
     want = [(key, len(text), hashlib.sha256(winnowing.edited(text, docs[(k + 1) % len(docs)][1]).encode()).hexdigest()) for k, (key, text) in enumerate(docs)]
     assert sorted(map(repr, want)) == sorted(repr((r["doc_id"], r["n_chars"], r["edited_sha256"])) for _, r in got)
+    hexed = lambda text: "".join(f"{h:08x}" for h in sorted({h for _, h in brute_prints(text, winnowing.GRAM, winnowing.WINDOW)}))
+    cut = lambda x: {x[k:k + 8] for k in range(0, len(x), 8)}
+    alike = lambda a, b: len(cut(a) & cut(b)) / len(cut(a) | cut(b)) if a or b else 1.0
+    told = {(r["doc_id"], r["n_chars"], r["edited_sha256"]): r for _, r in got}
+    for (key, text), row, following in zip(docs, want, [*docs[1:], docs[0]]):
+        if len(text) < 1000:
+            own, others, r = hexed(text), hexed(winnowing.edited(text, following[1])), told[row]
+            assert (r["fingerprint"], r["edited_fingerprint"], r["near_edited"]) == (own, others, alike(own, others))
+            assert r["near_next"] == alike(own, hexed(following[1])) if len(following[1]) < 1000 else r["near_next"] < 1
     same = [r["fingerprint"] for _, r in got if r["doc_id"] in (1, 4)]
     assert len(set(same)) == 1
     assert winnowing.compare_neighbours(odd(spark).limit(0)).count() == 0
@@ -263,6 +272,14 @@ def test_neighbours(spark):
     assert alone["near_next"] == 1.0
 
 
+def test_fingerprints_of_odd_rows(spark):
+    for r, s in zip(odd(spark).collect(), winnowing.fingerprints(odd(spark)).collect()):
+        assert r["doc_id"] == s["doc_id"] and len(s["hashes"]) == len(s["positions"])
+        if len(r["text"] or "") < 1000:
+            assert sorted(zip(s["positions"], s["hashes"])) == sorted(brute_prints(r["text"], winnowing.GRAM, winnowing.WINDOW))
+    assert winnowing.fingerprints(odd(spark).limit(0)).count() == 0
+
+
 def test_neighbours_and_shards_of_a_hot_id(spark, monkeypatch):
     from sardabir.llm import common
 
@@ -297,6 +314,15 @@ def test_sum_of_squares_identity():
     assert abs(model.logits(np.array([9]), f, x)[0] - want) < 1e-3
 
 
+def test_scores_are_those_of_all_pairs():
+    texts = ["the quick fox. It ran and slept well", "x | y | z | w | v!!", "", "one two two three!"]
+    model = quality.train(texts[:2] * 30, [None, 5] * 30, np.array([1, 0] * 30))
+    for text, length in zip(texts, [None, 5, 0, 18]):
+        _, f, x = model.inputs(*quality.describe([text], [length]))
+        want = model.bias + sum(float(model.linear[i]) * v for i, v in zip(f, x)) + sum(float(model.factors[f[i]] @ model.factors[f[j]]) * x[i] * x[j] for i in range(len(f)) for j in range(i))
+        assert abs(model.scores([text], [length])[0] - 1 / (1 + np.exp(-want))) < 1e-4
+
+
 def test_gru_gradients():
     rng = np.random.default_rng(0)
     net = toxicity.Network.fresh(rng)

@@ -1,5 +1,11 @@
+import re
+import struct
+
 import corpus_pipeline
-from sardabir.llm import decontaminate, neardup, pii
+import public_tokenizers
+from sardabir.llm import bpe, decontaminate, neardup, pii, quality, queries
+from sardabir.llm.labelled import fold
+from test_neardup import brute
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -20,6 +26,29 @@ def test_stages_keep_columns_and_take_effect(spark):
     assert pii.find_entities("") == []
 
 
-def test_run(spark):
-    rows = corpus_pipeline.run(spark, SMALL).collect()
-    assert 0 < len(rows) <= 200 and all(r["whole"] and len(r["ids"]) == 4 * r["n_tokens"] for r in rows)
+def test_run_equals_plain_loops(spark):
+    docs, items = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
+    model = quality.fit(docs, spark.read.parquet(f"{SMALL}/labels.parquet"), fold("doc_id", 3) != 1)
+    rows = [(r["doc_id"], r["text"], r["n_chars"]) for r in docs.collect()]
+    rows = [r for r in rows if model.scores([r[1] or ""], [r[2]])[0] >= 0.5]
+    rows = [r for r, least in zip(rows, brute([r[:2] for r in rows], 80)) if r[0] == least]
+
+    def words(text):
+        return [w for w in re.split("[\x20\x09-\x0d]+", (text or "").lower()) if w]
+
+    def contained(item, text):
+        w, had = words(item), words(text)
+        n = min(5, len(w))
+        grams = {tuple(w[i:i + n]) for i in range(len(w) - n + 1)} if w else set()
+        found = grams & {tuple(had[i:i + n]) for i in range(len(had) - n + 1)}
+        return bool(grams) and len(found) * 10 >= len(grams) * 8
+
+    wanted = [r["text"] for r in items.collect()]
+    rows = [r for r in rows if not any(contained(item, r[1]) for item in wanted)]
+    enc = bpe.encoding(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    want = {}
+    for key, text, _ in rows:
+        ids = enc.encode_ordinary(pii.pseudonymize(text or "", queries.PII_KEY)[0])
+        want[key] = len(ids), struct.pack(f"<{len(ids)}I", *ids)
+    got = corpus_pipeline.run(spark, SMALL).collect()
+    assert {r["doc_id"]: (r["n_tokens"], bytes(r["ids"])) for r in got} == want and len(got) == len(want) > 50 and all(r["whole"] for r in got)
