@@ -212,8 +212,10 @@ def known_of(spark, d):
 
 
 def kept_stats(spark, d):
-    """The statistics, kept while the parts of a plan that need them run; lost blocks are computed again."""
-    return stats_of(spark, d).persist()
+    """The statistics, written down once for all parts of a plan that need them."""
+    from ..sources import store
+
+    return store.checkpointed(stats_of(spark, d))
 
 
 def flagged_of(spark, d):
