@@ -1,11 +1,12 @@
-"""Operator 4: benchmark decontamination by a bottom-hash prefix filter for containment, with Spark expressions only.
+"""Operator 4: benchmark decontamination by size-partitioned MinHash containment search, with Spark expressions only.
 
 A test item is short and a document long, so their Jaccard similarity says little; what counts is containment, the
-share of the item's shingles that the document has. A sketch of the item finds that: its shingles of least hash, looked for among all shingles of a document. How many the sketch needs follows from the item's size. With n
-shingles and a containment of at least 80 %, at most m = n - ceil(0.8 n) can be missing, so of any m + 1 a document
-that contains the item has at least one. This takes the place of size-partitioned MinHash: each item has the sketch
-length of its own size, documents are not sketched, and candidates are complete: no document is missed by chance. Candidates are then verified by the exact share of
-distinct shingles, compared as text.
+share of the item's shingles that the document has. Items are partitioned by size, into classes of n from 2**k to
+2**(k + 1) - 1 shingles, and each class has a sketch length of its own: an item's sketch is its shingles of least hash
+(bottom-k MinHash), looked for among all shingles of a document. With n shingles and a containment of at least 80 %, at
+most n - ceil(0.8 n) can be missing, so of one more than that a document that contains the item has at least one; a class
+takes what its largest size asks for. Documents are not sketched, so candidates are complete: none is missed by chance.
+Candidates are then verified by the exact share of distinct shingles, compared as text.
 
 Words are maximal runs of characters other than U+0020 and U+0009 to U+000D, lower-cased. Shingles are runs of five
 words; an item of one to four words is one shingle, its whole sequence, sought among the documents' runs of as many.
@@ -69,11 +70,12 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = CONTAINME
 
 
 def _contained(texts: DataFrame, wanted: DataFrame, length: int, share: int) -> DataFrame:
-    # an item is a distinct text; its size sets the sketch's length
+    # an item is a distinct text; its size class sets the sketch's length
     keyed = wanted.groupBy("words").agg(F.collect_set("item").alias("holders")).withColumn("key", F.xxhash64("words"))
     grams = _shingles(keyed, length, "key").distinct()
     numbered = grams.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("hash", "shingle"))).alias("grams")).withColumn("n_item", F.size("grams"))
-    sketch_size = F.col("n_item") - F.ceil(F.col("n_item") * share / 1000) + 1
+    largest = F.pow(F.lit(2), F.length(F.bin("n_item"))).cast("int") - 1
+    sketch_size = F.least(F.col("n_item"), largest - F.ceil(largest * share / 1000) + 1)
     sketch = numbered.select("key", F.explode(F.slice("grams", F.lit(1), sketch_size.cast("int"))).alias("g")).select("key", "g.hash")
     whole = numbered.select("key", "n_item", F.explode("grams").alias("g")).select("key", "n_item", "g.hash", "g.shingle")
     small = whole.count() <= BROADCAST_ROWS
