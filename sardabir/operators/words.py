@@ -31,10 +31,21 @@ def words_only(blocks: DataFrame, text: str = "t", *, compose: bool = True) -> D
     return runs.select(*keep, T.norm_word(F.btrim(F.col("run"), F.lit(C.HALF_SPACE)), compose=compose).alias("norm")).where("norm <> ''")
 
 
+def _counted(blocks: DataFrame, text: str = "t", *, compose: bool = True) -> DataFrame:
+    """The blocks' other columns, norm and n (one row for each way to write a word).
+
+    Runs are counted as they are written before any is normalised, so that is done once for each, not at every place.
+    """
+    keep = [c for c in blocks.columns if c != text]
+    runs = blocks.select(*keep, F.explode_outer(F.regexp_extract_all(F.col(text), F.lit(C.WORD_RUN), F.lit(0))).alias("run")).where("run IS NOT NULL")
+    told = runs.groupBy(*keep, "run").agg(F.count("*").alias("n"))
+    return told.select(*keep, T.norm_word(F.btrim(F.col("run"), F.lit(C.HALF_SPACE)), compose=compose).alias("norm"), "n").where("norm <> ''")
+
+
 def book_word_counts(blocks: DataFrame, *, compose: bool = True) -> DataFrame:
     """book, norm, n: words of all blocks that don't look Arabic."""
     plain = blocks.where(~T.is_arabic_like(F.col("t"))).select("book", "t")
-    return words_only(plain, compose=compose).groupBy("book", "norm").agg(F.count("*").alias("n"))
+    return _counted(plain, compose=compose).groupBy("book", "norm").agg(F.sum("n").alias("n"))
 
 
 def word_stats(counts: DataFrame) -> DataFrame:
@@ -44,5 +55,5 @@ def word_stats(counts: DataFrame) -> DataFrame:
 
 def book_words(blocks: DataFrame, *, compose: bool = True) -> DataFrame:
     """book, words: of all blocks, whatever they look like."""
-    counted = words_only(blocks.select("book", "t"), compose=compose).groupBy("book").agg(F.count("*").alias("words"))
+    counted = _counted(blocks.select("book", "t"), compose=compose).groupBy("book").agg(F.sum("n").alias("words"))
     return blocks.select("book").distinct().join(counted, "book", "left").select("book", F.coalesce("words", F.lit(0)).alias("words"))

@@ -255,7 +255,7 @@ def _(spark, d):
 
 @query("zwnj_variants", f"WITH {S.VARIANTS} SELECT * FROM variants")
 def _(spark, d):
-    return spelling.zwnj_variants(stats_of(spark, d), known_of(spark, d))
+    return spelling.zwnj_variants(kept_stats(spark, d), known_of(spark, d))
 
 
 @query("rare_words", f"WITH {S.TYPOS} SELECT word, tf FROM rare")
