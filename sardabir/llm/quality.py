@@ -156,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qualit
     What reaches the driver is bounded by that number times the length of a text; no other column than text and length
     is read. Without rows, or with one label only, the model is a constant.
     """
-    drawn = sample(docs.select(id_col, text_col, length_col), labels, label, usable, per_class, id_col)
+    drawn = sample(docs.select(id_col, text_col, length_col), labels, label, usable, per_class, id_col, text_col)
     rows = drawn.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.col(length_col).cast("bigint").alias("n"), F.col("__label").alias("y")).toArrow()
     order = sorted(range(rows.num_rows), key=lambda i: (rows["y"][i].as_py(), rows["t"][i].as_py()))
     texts, lengths, y = (rows[c].to_pylist() for c in ("t", "n", "y"))
