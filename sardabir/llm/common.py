@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch are handed to Python functions in slices of at most so many code points (or one row).
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 250_000
 #: Bytes of strings that a Python function is given at once, or one row.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 #: Rows of two numbers that may be broadcast (some 60 bytes each in a hash table); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 

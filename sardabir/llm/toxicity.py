@@ -26,7 +26,7 @@ WIDTH, HIDDEN = 8, 8
 PER_CLASS = 1200
 EPOCHS, BATCH, RATE, SEED = 6, 128, 0.01, 5
 #: Code points that are worked through at once, and windows of one pass of the network.
-SLICE, BLOCK = 1_000_000, 2048
+SLICE, BLOCK = 250_000, 2048
 #: The logit of a text without words.
 NOTHING = -6.0
 
@@ -310,7 +310,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic"
 
     No other column than the text is read. Without rows, or with one label only, the network is a constant.
     """
-    rows = sample(docs.select(id_col, text_col), labels, label, usable, per_class, id_col).select(F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.col("__label").alias("y")).toArrow()
+    rows = sample(docs.select(id_col, text_col), labels, label, usable, per_class, id_col, text_col).select(F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.col("__label").alias("y")).toArrow()
     pairs = sorted(zip(rows["y"].to_pylist(), rows["t"].to_pylist()))
     return train([t for _, t in pairs], np.array([y for y, _ in pairs], dtype=np.int64))
 

@@ -19,7 +19,7 @@ GRAM, WINDOW = 16, 24
 #: Long texts are worked through in blocks of so many code points, which overlap by GRAM + WINDOW - 2.
 BLOCK = 1 << 18
 #: Documents of one range of ids, and code points of the texts that are turned into rows at once.
-RANGE_ROWS, SLICE = 2000, 1_000_000
+RANGE_ROWS, SLICE = 2000, 250_000
 _BASE = 0x9E3779B97F4A7C15
 
 
