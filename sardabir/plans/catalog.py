@@ -153,9 +153,8 @@ def _(spark, d):
 def _rule_query(rule: typography.Rule) -> None:
     @query(f"rule_{rule.id}", S.RULE_SQL.get(rule.id))
     def _(spark, d):
-        lines = B(spark, d)
-        hits = lines.where(T.gated(F.col("t"))).select("book", typography.hit_count(F.col("t"), rule).alias("n")).groupBy("book").agg(F.sum("n").alias("n"))
-        return lines.select("book").distinct().join(hits, "book", "left").select("book", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+        hits = F.when(T.gated(F.col("t")), typography.hit_count(F.col("t"), rule)).otherwise(0)
+        return B(spark, d).select("book", hits.alias("n")).groupBy("book").agg(F.sum("n").alias("n"))
 
 
 for _rule in typography.RULES:
