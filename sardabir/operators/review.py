@@ -29,7 +29,8 @@ def chunkable(blocks: DataFrame) -> DataFrame:
 
 
 def chunks(blocks: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
-    """book, chunk (from 0), pos (from 0), f, i, t: greedy packing of a book's paragraphs in order.
+    """book, chunk (from 0), pos (from 0), f, i, t and nth (the chunk's number over all books in order): greedy packing
+    of a book's paragraphs in order.
 
     A paragraph that would take a chunk beyond ``max_chars`` begins the next one. That depends on all before, so a
     book's lengths stream through one task in order; the texts stay out of it and are joined back.
@@ -38,7 +39,14 @@ def chunks(blocks: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lengths = ready.select("book", "file_pos", "i", F.length("t").alias("n")).repartition(tasks, "book").sortWithinPartitions("book", "file_pos", "i")
     placed = lengths.mapInArrow(lambda batches: _packed(batches, max_chars), "book string, file_pos int, i int, chunk int, pos int")
-    return placed.join(ready, ["book", "file_pos", "i"]).select("book", "chunk", "pos", "file_pos", "f", "i", "t")
+    # numbered by what was packed, without the texts; the lengths are dealt out once for both
+    sizes = placed.groupBy("book").agg((F.max("chunk") + 1).cast("bigint").alias("count"))
+    return placed.join(F.broadcast(_before(sizes)), "book").join(ready, ["book", "file_pos", "i"]).select("book", "chunk", "pos", "file_pos", "f", "i", "t", (F.col("before") + F.col("chunk")).alias("nth"))
+
+
+def _before(sizes: DataFrame) -> DataFrame:
+    """book and how many chunks (``count``) the books before it have, which is one row of two values for each book."""
+    return sizes.select("book", (F.sum("count").over(Window.orderBy("book")) - F.col("count")).alias("before"))
 
 
 def _packed(batches: Iterator[pa.RecordBatch], max_chars: int) -> Iterator[pa.RecordBatch]:
@@ -72,15 +80,16 @@ def user_message(texts: Column, register: Column) -> Column:
 def requests(packed: DataFrame, registers: DataFrame, model: str, first: int = 0, per_batch: int = PER_BATCH) -> DataFrame:
     """One row per chunk: nth, cid, book, items, content, params (JSON) and batch; ``registers`` has book and register.
 
-    Numbers run over books and chunks in order, cids from ``first`` on. They come from a count per book, so what one
-    task numbers is a row of two values for each book.
+    Numbers run over books and chunks in order, cids from ``first`` on. They come with the chunks, or else from a
+    count per book, so what one task numbers is a row of two values for each book.
     """
-    told = packed.groupBy("book", "chunk").agg(F.array_sort(F.collect_list(F.struct("pos", "f", "i", "t"))).alias("x"))
-    sizes = told.groupBy("book").count()
-    before = sizes.select("book", (F.sum("count").over(Window.orderBy("book")) - F.col("count")).alias("before"))
-    nth = F.col("before") + F.col("chunk")
+    if "nth" not in packed.columns:
+        sizes = packed.select("book", "chunk").distinct().groupBy("book").count()
+        packed = packed.join(_before(sizes), "book").withColumn("nth", F.col("before") + F.col("chunk"))
+    told = packed.groupBy("book", "chunk", "nth").agg(F.array_sort(F.collect_list(F.struct("pos", "f", "i", "t"))).alias("x"))
+    nth = F.col("nth")
     content = user_message(F.col("x.t"), F.col("register"))
-    rows = told.join(before, "book").join(registers.select("book", "register"), "book", "left")
+    rows = told.join(registers.select("book", "register"), "book", "left")
     return rows.select(
         nth.alias("nth"), F.format_string("c%07d", nth + first).alias("cid"), "book", F.transform("x", lambda p: F.struct(p["f"].alias("f"), p["i"].alias("i"))).alias("items"),
         content.alias("content"), F.floor(nth / per_batch).alias("batch")).withColumn("params", F.to_json(F.struct(
@@ -105,10 +114,10 @@ def systematic_sample(rows: DataFrame, total: int, sample: int = SAMPLE) -> Data
 
 def estimate(rows: DataFrame, count_tokens: Callable[[Column], Column], price_in: float, price_out: float) -> DataFrame:
     """One row: requests, chars, est_in (sampled tokens carried on), out_low, out_high, cost_low, cost_high."""
-    whole = rows.agg(F.count("*").alias("requests"), F.coalesce(F.sum(F.length("content")), F.lit(0)).alias("chars"))
-    total = whole.first()["requests"]
-    sampled = systematic_sample(rows, total).agg(F.sum(count_tokens(F.col("content"))).alias("tok"), F.count("*").alias("n"))
-    est = whole.crossJoin(sampled).select("requests", "chars", F.floor(F.col("tok") / F.col("n") * F.col("requests")).alias("est_in"), (LEAST_OUT * F.col("requests")).alias("out_low"), (MOST_OUT * F.col("requests")).alias("out_high"))
+    whole = rows.agg(F.count("*").alias("requests"), F.coalesce(F.sum(F.length("content")), F.lit(0)).alias("chars")).first()
+    sampled = systematic_sample(rows, whole["requests"]).agg(F.sum(count_tokens(F.col("content"))).alias("tok"), F.count("*").alias("n"))
+    est = sampled.select(F.lit(whole["requests"]).cast("bigint").alias("requests"), F.lit(whole["chars"]).cast("bigint").alias("chars"), "tok", "n").select(
+        "requests", "chars", F.floor(F.col("tok") / F.col("n") * F.col("requests")).alias("est_in"), (LEAST_OUT * F.col("requests")).alias("out_low"), (MOST_OUT * F.col("requests")).alias("out_high"))
     cost = lambda out: F.col("est_in") / 1e6 * price_in + F.col(out) / 1e6 * price_out
     return est.withColumn("cost_low", cost("out_low")).withColumn("cost_high", cost("out_high"))
 

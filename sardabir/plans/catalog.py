@@ -556,7 +556,8 @@ def packed(spark, d):
 
 
 def requests(spark, d, **how):
-    books = B(spark, d).select("book").distinct()
+    # of every source, also of one without blocks: only packed books look theirs up
+    books = table(spark, d, "documents").select(F.col("source").alias("book")).distinct()
     return review.requests(packed(spark, d), books.select("book", F.when(F.col("book") < "src5", F.col("book")).alias("register")), "any", **how)
 
 

@@ -54,3 +54,20 @@ def test_lines_are_those_of_the_expression(spark, tmp_path):
     lines = docs.select(F.col("source").alias("book"), F.col("doc_id").cast("string").alias("file"), F.col("doc_id").alias("file_pos"), F.posexplode_outer(F.split(persianized.persian(F.col("text"), F.col("doc_id")), "\n")).alias("i", "line"))
     want = lines.select("book", "file", "file_pos", "i", T.collapse_white(F.col("line")).alias("t")).where("t <> ''")
     assert sorted(map(repr, persianized.blocks(spark, str(tmp_path)).collect())) == sorted(map(repr, want.collect()))
+
+
+@pytest.mark.parametrize("name", ["user_message", "grammar_requests", "request_params", "llm_pilot"])
+def test_requests_read_the_texts_for_their_lengths_and_to_be_sent(name, spark):
+    # and sources alone, for the registers
+    said = plan(catalog.QUERIES[name](spark, SMALL)).split("Relation [")
+    assert len([x for x in said[1:] if "text" in x.split("]")[0]]) <= 4 and "MapInArrow" in "".join(said)
+
+
+def test_requests_are_numbered_alike_with_and_without_the_chunks_numbers(spark):
+    from sardabir.operators import review
+
+    rows = [(f"b{n % 5}", str(n % 3), n % 3, n, "کتاب " * (n % 7 + 3)) for n in range(200)]
+    packed = review.chunks(spark.createDataFrame(rows, "book string, file string, file_pos int, i int, t string"), 100)
+    names = spark.createDataFrame([("b1", "r")], "book string, register string")
+    one, two = (sorted(map(repr, review.requests(p, names, "any").collect())) for p in (packed, packed.drop("nth")))
+    assert one == two and len(one) > 20
