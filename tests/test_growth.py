@@ -71,3 +71,12 @@ def test_requests_are_numbered_alike_with_and_without_the_chunks_numbers(spark):
     names = spark.createDataFrame([("b1", "r")], "book string, register string")
     one, two = (sorted(map(repr, review.requests(p, names, "any").collect())) for p in (packed, packed.drop("nth")))
     assert one == two and len(one) > 20
+
+
+def test_the_pages_of_books_take_one_search_for_hits(spark, monkeypatch):
+    from sardabir.operators import typography
+
+    asked, find = [], typography.find_issues
+    monkeypatch.setattr(typography, "find_issues", lambda *a: asked.append(1) or find(*a))
+    pages = catalog.QUERIES["report_book_page"](spark, SMALL)
+    assert len(asked) == 1 and pages.columns == ["book", "html"]
