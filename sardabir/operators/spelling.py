@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,20 +26,18 @@ class Thresholds:
     dominant_ratio: int = 5
 
 
-#: Rows of frequent words' delete keys, or of flagged words, that may be broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
-
-
-def _hinted(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+#: Frequent words, or flagged ones, that each task may hold; more are joined by a shuffle.
+CARRIED = 500_000
+#: Rare words that are looked up at once.
+LOOKED_UP = 10_000
 
 
 def zwnj_variants(stats: DataFrame, known: DataFrame, at: Thresholds = Thresholds()) -> DataFrame:
     """Words that a much more frequent form with other half-spaces shadows. Ties: the least word is dominant."""
     base = F.replace("word", F.lit(C.HALF_SPACE), F.lit(""))
     forms = stats.select("word", "tf", base.alias("base"))
-    top = forms.groupBy("base").agg(F.max("tf").alias("most"), F.count("*").alias("forms")).where(f"forms > 1 AND most >= {at.dominant_min}")
-    best = forms.join(top, "base").where("tf = most").groupBy("base", "most").agg(F.min("word").alias("sugg"))
+    top = forms.groupBy("base").agg(F.min(F.struct((-F.col("tf")).alias("less"), F.col("word").alias("sugg"))).alias("top"), F.count("*").alias("forms"))
+    best = top.select("base", (-F.col("top.less")).alias("most"), "top.sugg", "forms").where(f"forms > 1 AND most >= {at.dominant_min}").drop("forms")
     shadowed = forms.join(best, "base").where((F.col("word") != F.col("sugg")) & (F.col("most") >= at.dominant_ratio * F.col("tf")))
     return shadowed.join(known.select("word"), "word", "left_anti").select(
         "word", "sugg", F.lit("zwnj_variant").alias("kind"), "tf", F.col("most").alias("sugg_tf"),
@@ -49,16 +50,72 @@ def rare_words(stats: DataFrame, known: DataFrame, flagged: DataFrame, at: Thres
         known.select("word"), "word", "left_anti").join(flagged.select("word"), "word", "left_anti")
 
 
+#: Powers of a number by which strings are hashed, and its reciprocal, modulo 2 to the 64th.
+_BASE, _LESS = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+
+
+def key_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each word and of its strings with one character less, and the number of the word that each is of.
+
+    Equal strings have equal hashes: the sum of code points times powers of a base, modulo 2 to the 64th. So that of a
+    string with one character less is a sum up to that character and one behind it, and no such string is made.
+    """
+    lengths = np.array([len(w) for w in words], np.int64)
+    of, hashes = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    for n in np.unique(lengths[lengths > 0]):
+        at = np.flatnonzero(lengths == n)
+        codes = np.frombuffer("".join([words[k] for k in at]).encode("utf-32-le"), np.uint32).astype(np.uint64).reshape(-1, n)
+        powers = np.cumprod(np.full(n, _BASE, np.uint64))
+        ahead = np.cumsum(codes * powers, axis=1)
+        moved = np.cumsum((codes * (powers * np.uint64(_LESS)))[:, ::-1], axis=1)[:, ::-1]
+        less = np.hstack([np.zeros((len(at), 1), np.uint64), ahead[:, :-1]]) + np.hstack([moved[:, 1:], np.zeros((len(at), 1), np.uint64)])
+        hashes += [ahead[:, -1], less.ravel()]
+        of += [at, np.repeat(at, n)]
+    return np.concatenate(of), np.concatenate(hashes)
+
+
+def _near(rare: DataFrame, often: list[str], often_tf: np.ndarray, ratio: int) -> DataFrame:
+    """word, tf, cand, cand_tf: rare words with all frequent words, ``ratio`` times as frequent, that share a key's hash."""
+    of, hashes = key_hashes(often)
+    order = np.argsort(hashes, kind="stable")
+    carried = rare.sparkSession.sparkContext.broadcast((pa.array(often, pa.string()), often_tf, of[order].astype(np.int32), hashes[order]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cands, cands_tf, owner, sought = carried.value
+        for whole in batches:
+            for start in range(0, whole.num_rows, LOOKED_UP):
+                batch = whole.slice(start, LOOKED_UP)
+                tf = batch.column(1).to_numpy()
+                row, key = key_hashes(batch.column(0).to_pylist())
+                first, end = np.searchsorted(sought, key, "left"), np.searchsorted(sought, key, "right")
+                met = np.flatnonzero(end > first)
+                row, first, n = row[met], first[met], (end - first)[met]
+                place = np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+                row, cand = np.repeat(row, n), owner[place]
+                held = cands_tf[cand] >= ratio * tf[row]
+                row, cand = np.divmod(np.unique(row[held] * len(cands) + cand[held]), max(len(cands), 1))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(row)), pa.array(tf[row], pa.int64()), cands.take(pa.array(cand)), pa.array(cands_tf[cand], pa.int64())], names=["word", "tf", "cand", "cand_tf"])
+
+    return rare.mapInArrow(run, "word string, tf bigint, cand string, cand_tf bigint")
+
+
 def corpus_typos(stats: DataFrame, known: DataFrame, flagged: DataFrame, at: Thresholds = Thresholds()) -> DataFrame:
     """Rare words with the most frequent word one edit apart. Ties: the least word.
 
     Two words one edit apart share a key among themselves and their strings with one character less, so the search is
-    an equi-join on those keys; pairs are then verified. Frequent words are few and their keys are broadcast if so.
+    for equal keys; pairs are then verified. Frequent words are few, and each task looks its rare words up in hashes of
+    their keys; if they are too many for that, keys meet in a join.
     """
     keys = lambda df, word, n: df.select("word", "tf", F.explode(F.array_union(F.array("word"), T.deletes(F.col("word")))).alias("key")).withColumnsRenamed({"word": word, "tf": n})
-    frequent = keys(stats.where((F.col("tf") >= at.freq_min) & (F.length("word") >= at.min_len - 1)), "cand", "cand_tf")
-    rare = keys(rare_words(stats, known, flagged, at), "word", "tf")
-    pairs = rare.join(_hinted(frequent), "key").where((F.col("cand") != F.col("word")) & (F.col("cand_tf") >= at.ratio * F.col("tf")))
+    often = stats.where((F.col("tf") >= at.freq_min) & (F.length("word") >= at.min_len - 1)).select("word", "tf")
+    rare = rare_words(stats, known, flagged, at).select("word", "tf")
+    some = often.limit(CARRIED + 1).toPandas()
+    if len(some) <= CARRIED:
+        near = _near(rare, some["word"].tolist(), some["tf"].to_numpy(), at.ratio)
+    else:
+        near = keys(rare, "word", "tf").join(keys(often, "cand", "cand_tf"), "key")
+    pairs = near.where((F.col("cand") != F.col("word")) & (F.col("cand_tf") >= at.ratio * F.col("tf")))
     verified = pairs.select("word", "tf", "cand", "cand_tf").distinct().where(T.is_one_edit(F.col("word"), F.col("cand")) & ~T.is_inflection(F.col("word"), F.col("cand")))
     best = verified.groupBy("word", "tf").agg(F.min(F.struct((-F.col("cand_tf")).alias("less"), F.col("cand").alias("sugg"))).alias("best"))
     return best.select(
@@ -77,11 +134,17 @@ _EN = {"corpus_typo": "Likely typo; common form across the corpus: %s (%d×)", "
 
 
 def spelling_issues(blocks: DataFrame, flagged: DataFrame, *, compose: bool = True) -> DataFrame:
-    """Every place of a flagged word, in blocks that don't look Arabic."""
-    places = tokens(blocks.where(~T.is_arabic_like(F.col("t"))), compose=compose)
+    """Every place of a flagged word, in blocks that don't look Arabic.
+
+    ``flagged`` is looked at twice, so it should be written down. Its words go to the texts, so that no other word leaves
+    the function that finds words; if they are too many for that, all words meet them in a join.
+    """
+    some = flagged.select("word").limit(CARRIED + 1).toPandas()["word"]
+    only = blocks.sparkSession.sparkContext.broadcast(frozenset(some)) if len(some) <= CARRIED else None
+    places = tokens(blocks.where(~T.is_arabic_like(F.col("t"))), compose=compose, only=only)
     told = lambda texts: F.when(F.col("kind") == "corpus_typo", F.format_string(texts["corpus_typo"], "sugg", "sugg_tf")).otherwise(F.format_string(texts["zwnj_variant"], "sugg", "sugg_tf"))
     keep = [c for c in blocks.columns if c != "t"]
-    return places.join(_hinted(flagged), places["norm"] == flagged["word"]).select(
+    return places.join(F.broadcast(flagged) if only else flagged, places["norm"] == flagged["word"]).select(
         *keep, F.col("s").alias("off"), (F.col("e") - F.col("s")).alias("len"), F.col("raw").alias("orig"), "sugg", F.col("kind").alias("rule"), F.lit("review").alias("severity"),
         F.when(F.col("kind") == "corpus_typo", F.lit("spelling")).otherwise(F.lit("typography")).alias("category"), "conf", told(_FA).alias("msg_fa"), told(_EN).alias("msg_en"))
 

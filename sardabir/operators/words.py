@@ -7,6 +7,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
@@ -21,31 +22,40 @@ _RUN = re.compile(f"[{C.plain(C.LETTERS, C.MARKS, C.PRESENTATION)}{C.HALF_SPACE}
 
 
 class _Norms(dict):
-    """Normal forms of the runs seen so far, half-spaces at their ends aside; each is worked out once."""
+    """Normal forms of the runs seen so far, half-spaces at their ends aside; each is worked out once.
 
-    def __init__(self, compose: bool) -> None:
+    Those that are not among ``only``, if that is given, are empty.
+    """
+
+    def __init__(self, compose: bool, only: frozenset[str] | None = None) -> None:
         super().__init__()
-        self.compose = compose
+        self.compose, self.only = compose, only
 
     def __missing__(self, run: str) -> str:
         if len(self) >= KEPT:
             self.clear()
-        norm = self[run] = T.normed(run.strip(C.HALF_SPACE), compose=self.compose)
+        norm = T.normed(run.strip(C.HALF_SPACE), compose=self.compose)
+        if self.only is not None and norm not in self.only:
+            norm = ""
+        self[run] = norm
         return norm
 
 
-def tokens(blocks: DataFrame, text: str = "t", *, compose: bool = True) -> DataFrame:
+def tokens(blocks: DataFrame, text: str = "t", *, compose: bool = True, only: Broadcast[frozenset[str]] | None = None) -> DataFrame:
     """One row for each word: the block's other columns, s, e (code points), raw and norm.
 
-    A word is a run of word characters less the half-spaces at its ends; runs of which nothing remains are left out.
+    A word is a run of word characters less the half-spaces at its ends; runs of which nothing remains are left out, and
+    words whose norm is not among ``only``, if that is given.
     """
     keep = [c for c in blocks.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        norms = _Norms(compose)
+        norms = _Norms(compose, only and only.value)
         for batch in batches:
             of, starts, ends, raws, told = [], [], [], [], []
             for row, t in enumerate(batch.column(len(keep)).to_pylist()):
+                if only and not any(map(norms.__getitem__, _RUN.findall(t))):
+                    continue
                 for m in _RUN.finditer(t):
                     raw, s = m[0], m.start()
                     if not (norm := norms[raw]):

@@ -289,8 +289,10 @@ def _(spark, d):
                CASE WHEN kind = 'corpus_typo' THEN 'Likely typo; common form across the corpus: ' ELSE 'ZWNJ spacing inconsistent with the rest of the corpus; common form: ' END || sugg || ' (' || sugg_tf || '×)' AS msg_en
         FROM tokens JOIN flagged ON norm = word WHERE (book, file, i) IN (SELECT (book, file, i) FROM blocks WHERE NOT {S.arabic()})""")
 def _(spark, d):
+    from ..sources import store
+
     lines = B(spark, d)
-    return spelling.spelling_issues(lines.select(*KEY, "t"), flagged_of(spark, d)).drop("msg_fa")
+    return spelling.spelling_issues(lines.select(*KEY, "t"), store.checkpointed(flagged_of(spark, d))).drop("msg_fa")
 
 
 # ---- findings, counts, reports --------------------------------------------------------------------------------

@@ -80,3 +80,52 @@ def test_the_pages_of_books_take_one_search_for_hits(spark, monkeypatch):
     monkeypatch.setattr(typography, "find_issues", lambda *a: asked.append(1) or find(*a))
     pages = catalog.QUERIES["report_book_page"](spark, SMALL)
     assert len(asked) == 1 and pages.columns == ["book", "html"]
+
+
+def test_flagged_words_are_worked_out_once_and_only_their_places_leave_the_texts(spark, monkeypatch):
+    from sardabir.operators import spelling
+
+    asked, find = [], words.tokens
+    monkeypatch.setattr(spelling, "tokens", lambda *a, **b: asked.append(find(*a, **b)) or asked[-1])
+    issues = catalog.QUERIES["spelling_issues"](spark, SMALL)
+    assert "levenshtein" not in plan(issues) and len(asked) == 1 and asked[0].count() == issues.count() > 0
+    monkeypatch.setattr(spelling, "CARRIED", 0)
+    joined = catalog.QUERIES["spelling_issues"](spark, SMALL)
+    assert sorted(map(repr, joined.collect())) == sorted(map(repr, issues.collect())) and asked[1].count() > asked[0].count()
+
+
+def test_places_of_some_words_are_those_among_all(spark):
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(texts(500, 3))], "k int, t string")
+    every = words.tokens(df).collect()
+    some = frozenset([r["norm"] for r in every][::7])
+    got = words.tokens(df, only=spark.sparkContext.broadcast(some)).collect()
+    assert sorted(map(repr, got)) == sorted(repr(r) for r in every if r["norm"] in some) and 0 < len(got) < len(every)
+    assert words.tokens(df, only=spark.sparkContext.broadcast(frozenset())).count() == 0
+
+
+def test_hashes_of_keys_meet_where_keys_do():
+    from sardabir.operators import spelling
+
+    rng = random.Random(4)
+    some = ["", "ا", "😀ب"] + sorted({"".join(rng.choice("ابم") for _ in range(rng.randint(1, 7))) for _ in range(200)})
+    of, hashes = spelling.key_hashes(some)
+    told = [set() for _ in some]
+    for k, h in zip(of.tolist(), hashes.tolist()):
+        told[k].add(h)
+    keys = [{w, *(w[:k] + w[k + 1:] for k in range(len(w)))} for w in some]
+    assert all(bool(told[a] & told[b]) == bool(keys[a] & keys[b]) for a in range(1, len(some)) for b in range(1, a))
+
+
+def test_typos_found_by_hashes_are_those_of_the_join(spark, monkeypatch):
+    from sardabir.operators import spelling
+
+    rng = random.Random(5)
+    far = "".join(rng.choice("ابم") for _ in range(20_000))  # all its strings with one character less would be 400 MB
+    rows = [("".join(rng.choice("ابکس‌") for _ in range(rng.randint(3, 7))), rng.choice([1, 1, 2, 40, 90, 200]), 1) for _ in range(900)]
+    stats = spark.createDataFrame(list({w: (w, *r) for w, *r in rows}.values()), "word string, tf bigint, df bigint").cache()
+    none = spark.createDataFrame([], "word string")
+    got = sorted(map(repr, spelling.corpus_typos(stats, none, none).collect()))
+    long = spark.createDataFrame([(far, 500, 3), (far[:9000] + "ک" + far[9001:], 2, 1)], "word string, tf bigint, df bigint")
+    assert [(r["sugg_tf"], r["tf"]) for r in spelling._near(long.where("tf = 2").select("word", "tf"), [far], long.where("tf = 500").toPandas()["tf"].to_numpy(), 40).selectExpr("cand_tf AS sugg_tf", "tf").collect()] == [(500, 2)]
+    monkeypatch.setattr(spelling, "CARRIED", 0)
+    assert got == sorted(map(repr, spelling.corpus_typos(stats, none, none).collect())) and len(got) > 20
