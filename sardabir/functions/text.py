@@ -6,6 +6,7 @@ import re
 import unicodedata
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -99,6 +100,34 @@ def deletes(word: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.left(word, i - 1), F.substr(word, i + 1))))
 
 
+#: Powers of a number by which strings are hashed, and its reciprocal, modulo 2 to the 64th.
+BASE, LESS = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+
+
+def key_hashes(words: list[str], *, deletes: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each word and, with ``deletes``, of its strings with one character less; first the number of the word that each is of.
+
+    Equal strings have equal hashes: the sum of code points times powers of a base, modulo 2 to the 64th. So that of a
+    string with one character less is a sum up to that character and one behind it, and no such string is made.
+    """
+    lengths = np.array([len(w) for w in words], np.int64)
+    of, hashes = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    for n in np.unique(lengths[lengths > 0]):
+        at = np.flatnonzero(lengths == n)
+        codes = np.frombuffer("".join([words[k] for k in at]).encode("utf-32-le"), np.uint32).astype(np.uint64).reshape(-1, n)
+        powers = np.cumprod(np.full(n, BASE, np.uint64))
+        ahead = np.cumsum(codes * powers, axis=1)
+        of.append(at)
+        hashes.append(ahead[:, -1])
+        if not deletes:
+            continue
+        moved = np.cumsum((codes * (powers * np.uint64(LESS)))[:, ::-1], axis=1)[:, ::-1]
+        less = np.hstack([np.zeros((len(at), 1), np.uint64), ahead[:, :-1]]) + np.hstack([moved[:, 1:], np.zeros((len(at), 1), np.uint64)])
+        of.append(np.repeat(at, n))
+        hashes.append(less.ravel())
+    return np.concatenate(of), np.concatenate(hashes)
+
+
 def common_prefix(a: Column, b: Column) -> Column:
     """The length of the longest common prefix."""
     places = F.sequence(F.lit(1), F.least(F.length(a), F.length(b)) + 1)

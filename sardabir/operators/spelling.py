@@ -50,33 +50,9 @@ def rare_words(stats: DataFrame, known: DataFrame, flagged: DataFrame, at: Thres
         known.select("word"), "word", "left_anti").join(flagged.select("word"), "word", "left_anti")
 
 
-#: Powers of a number by which strings are hashed, and its reciprocal, modulo 2 to the 64th.
-_BASE, _LESS = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-
-
-def key_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each word and of its strings with one character less, and the number of the word that each is of.
-
-    Equal strings have equal hashes: the sum of code points times powers of a base, modulo 2 to the 64th. So that of a
-    string with one character less is a sum up to that character and one behind it, and no such string is made.
-    """
-    lengths = np.array([len(w) for w in words], np.int64)
-    of, hashes = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
-    for n in np.unique(lengths[lengths > 0]):
-        at = np.flatnonzero(lengths == n)
-        codes = np.frombuffer("".join([words[k] for k in at]).encode("utf-32-le"), np.uint32).astype(np.uint64).reshape(-1, n)
-        powers = np.cumprod(np.full(n, _BASE, np.uint64))
-        ahead = np.cumsum(codes * powers, axis=1)
-        moved = np.cumsum((codes * (powers * np.uint64(_LESS)))[:, ::-1], axis=1)[:, ::-1]
-        less = np.hstack([np.zeros((len(at), 1), np.uint64), ahead[:, :-1]]) + np.hstack([moved[:, 1:], np.zeros((len(at), 1), np.uint64)])
-        hashes += [ahead[:, -1], less.ravel()]
-        of += [at, np.repeat(at, n)]
-    return np.concatenate(of), np.concatenate(hashes)
-
-
 def _near(rare: DataFrame, often: list[str], often_tf: np.ndarray, ratio: int) -> DataFrame:
     """word, tf, cand, cand_tf: rare words with all frequent words, ``ratio`` times as frequent, that share a key's hash."""
-    of, hashes = key_hashes(often)
+    of, hashes = T.key_hashes(often)
     order = np.argsort(hashes, kind="stable")
     carried = rare.sparkSession.sparkContext.broadcast((pa.array(often, pa.string()), often_tf, of[order].astype(np.int32), hashes[order]))
 
@@ -86,7 +62,7 @@ def _near(rare: DataFrame, often: list[str], often_tf: np.ndarray, ratio: int) -
             for start in range(0, whole.num_rows, LOOKED_UP):
                 batch = whole.slice(start, LOOKED_UP)
                 tf = batch.column(1).to_numpy()
-                row, key = key_hashes(batch.column(0).to_pylist())
+                row, key = T.key_hashes(batch.column(0).to_pylist())
                 first, end = np.searchsorted(sought, key, "left"), np.searchsorted(sought, key, "right")
                 met = np.flatnonzero(end > first)
                 row, first, n = row[met], first[met], (end - first)[met]

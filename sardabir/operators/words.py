@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -21,6 +23,64 @@ KEPT, ROWS = 200_000, 50_000
 _RUN = re.compile(f"[{C.plain(C.LETTERS, C.MARKS, C.PRESENTATION)}{C.HALF_SPACE}{C.STRETCH}]+")
 
 
+#: What becomes of each code point in a word's normal form: 0 if it is in no word, _GONE if it is left out.
+_GONE = 1
+_FORM = np.zeros(0x110000, np.uint32)
+for _first, _last in (*C.LETTERS, *C.PRESENTATION):
+    _FORM[_first:_last + 1] = range(_first, _last + 1)
+for _first, _last in C.MARKS:
+    _FORM[_first:_last + 1] = _GONE
+_FORM[[ord(c) for c in (*C.TO_PERSIAN, C.HALF_SPACE, C.STRETCH)]] = [*map(ord, C.TO_PERSIAN.values()), ord(C.HALF_SPACE), _GONE]
+#: Code points that are looked at at once.
+LOOKED_AT = 200_000
+
+
+class _Sought:
+    """Which texts may have a word whose norm is among ``only``: words are brought to their normal forms and hashed all at once."""
+
+    def __init__(self, only: frozenset[str], compose: bool) -> None:
+        self.compose = compose
+        self.powers = np.cumprod(np.full(LOOKED_AT + 1, T.BASE, np.uint64))
+        self.less = np.cumprod(np.full(LOOKED_AT + 1, T.LESS, np.uint64))
+        self.hashes = np.unique(T.key_hashes(list(only), deletes=False)[1])
+
+    def among(self, texts: list[str]) -> Iterator[bool]:
+        """False is sure. Texts that are too long to be looked at at once are let through."""
+        start = 0
+        while start < len(texts):
+            end, size = start + 1, len(texts[start]) + 1
+            while end < len(texts) and size + len(texts[end]) < LOOKED_AT:
+                size += len(texts[end]) + 1
+                end += 1
+            yield from self._held(texts[start:end]).tolist() if size <= LOOKED_AT else [True]
+            start = end
+
+    def _held(self, texts: list[str]) -> np.ndarray:
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        codes = _FORM[np.frombuffer("".join([f"{t}\n" for t in texts]).encode("utf-32-le"), np.uint32)]
+        held = np.zeros(len(texts), bool)
+        if self.compose:
+            held[np.searchsorted(ends, np.flatnonzero(codes >= C.PRESENTATION[0][0]), "right")] = True
+        places = np.flatnonzero(codes != _GONE)
+        codes = codes[places]
+        half = codes == ord(C.HALF_SPACE)
+        if half.any():
+            # of several, the last is left, and none at a word's ends; each text ends with what is in no word
+            left = ~(half & np.append(half[1:], False))
+            places, codes, half = places[left], codes[left], half[left]
+            out = codes == 0
+            left = ~(half & (np.append(out[1:], True) | np.insert(out[:-1], 0, True)))
+            places, codes = places[left], codes[left]
+        inside = np.concatenate([[False], codes != 0, [False]])
+        first, last = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+        sums = np.insert(np.cumsum(codes * self.powers[:len(codes)]), 0, np.uint64(0))
+        hashes = (sums[last] - sums[first]) * self.less[first] * np.uint64(T.BASE)
+        if len(self.hashes):
+            met = self.hashes[np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)] == hashes
+            held[np.searchsorted(ends, places[first[met]], "right")] = True
+        return held
+
+
 class _Norms(dict):
     """Normal forms of the runs seen so far, half-spaces at their ends aside; each is worked out once.
 
@@ -51,11 +111,11 @@ def tokens(blocks: DataFrame, text: str = "t", *, compose: bool = True, only: Br
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         norms = _Norms(compose, only and only.value)
+        sought = only and _Sought(only.value, compose)
         for batch in batches:
             of, starts, ends, raws, told = [], [], [], [], []
-            for row, t in enumerate(batch.column(len(keep)).to_pylist()):
-                if only and not any(map(norms.__getitem__, _RUN.findall(t))):
-                    continue
+            texts = batch.column(len(keep)).to_pylist()
+            for row, t in itertools.compress(enumerate(texts), sought.among(texts) if sought else itertools.repeat(True)):
                 for m in _RUN.finditer(t):
                     raw, s = m[0], m.start()
                     if not (norm := norms[raw]):

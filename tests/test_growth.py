@@ -101,14 +101,26 @@ def test_places_of_some_words_are_those_among_all(spark):
     got = words.tokens(df, only=spark.sparkContext.broadcast(some)).collect()
     assert sorted(map(repr, got)) == sorted(repr(r) for r in every if r["norm"] in some) and 0 < len(got) < len(every)
     assert words.tokens(df, only=spark.sparkContext.broadcast(frozenset())).count() == 0
+    plain = words.tokens(df, compose=False, only=spark.sparkContext.broadcast(some)).collect()
+    assert sorted(map(repr, plain)) == sorted(repr(r) for r in words.tokens(df, compose=False).collect() if r["norm"] in some)
 
 
-def test_hashes_of_keys_meet_where_keys_do():
-    from sardabir.operators import spelling
+def test_texts_without_some_words_are_passed_over(monkeypatch):
+    monkeypatch.setattr(words, "LOOKED_AT", 200)
+    told = texts(2000, 6) + ["ا" * 300, "", "‌‌", "ا‌‌", "ﻻ"]
+    for compose in (True, False):
+        norms = [{T.normed(run.strip("‌"), compose=compose) for run in words._RUN.findall(t)} - {""} for t in told]
+        for some in (frozenset().union(*norms[::40]), frozenset(["ا"]), frozenset()):
+            held = list(words._Sought(some, compose).among(told))
+            sure = [bool(n & some) for n in norms]
+            assert len(held) == len(told) and all(h or not s for h, s in zip(held, sure))
+            assert all(h == s for h, s, t in zip(held, sure, told) if len(t) < 200 and not (compose and ("ﻻ" in t or "ﷺ" in t)))
 
+
+def test_hashes_of_keys_meet_where_keys_do():
     rng = random.Random(4)
     some = ["", "ا", "😀ب"] + sorted({"".join(rng.choice("ابم") for _ in range(rng.randint(1, 7))) for _ in range(200)})
-    of, hashes = spelling.key_hashes(some)
+    of, hashes = T.key_hashes(some)
     told = [set() for _ in some]
     for k, h in zip(of.tolist(), hashes.tolist()):
         told[k].add(h)
